@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_automaton
+from tessera.llm import bpe_automaton, language_id
 from tessera.llm.common import table
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    profiles = language_id.learn(docs.filter("NOT held_out"))
+    return language_id.identify(docs, profiles, ["doc_id", "held_out"])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(
         table(spark, sf_dir, "documents"), "text", ["doc_id"], public_tokenizers.path("word_bpe_49k.json"),
@@ -16,5 +22,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+QUERIES = {"op6_language_id": op6_language_id, "op9_bpe": op9_bpe}
 ORACLE: dict[str, str] = {}
