@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_automaton, language_id
+from tessera.llm import bpe_automaton, language_id, suffix_dedup
 from tessera.llm.common import table
 
 
@@ -22,5 +22,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op9_bpe": op9_bpe}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {}
