@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_automaton, language_id, suffix_dedup
+from tessera.llm import bpe_automaton, html_extract, language_id, suffix_dedup
 from tessera.llm.common import table
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     profiles = language_id.learn(docs.filter("NOT held_out"))
@@ -26,5 +30,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op2_html_extract": op2_html_extract, "op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {}
