@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe_automaton, html_extract, language_id, suffix_dedup
+from tessera.llm import bpe_automaton, html_extract, language_id, resharding, suffix_dedup
 from tessera.llm.common import table
 
 
@@ -13,6 +14,12 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 shards, where ids lie by their hash, to 40 of near equal size."""
+    put = resharding.reshard(table(spark, sf_dir, "documents"), 32, 40)
+    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     profiles = language_id.learn(docs.filter("NOT held_out"))
@@ -30,5 +37,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_html_extract": op2_html_extract, "op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op2_html_extract": op2_html_extract, "op4_resharding": op4_resharding, "op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {}
