@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_automaton, html_extract, language_id, resharding, suffix_dedup
+from tessera.llm import bpe_automaton, embedding_dedup, html_extract, language_id, resharding, suffix_dedup
 from tessera.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     profiles = language_id.learn(docs.filter("NOT held_out"))
@@ -37,5 +41,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_html_extract": op2_html_extract, "op4_resharding": op4_resharding, "op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op2_html_extract": op2_html_extract, "op4_resharding": op4_resharding, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {}
