@@ -15,7 +15,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 #: Characters that count as white space for the tokenizer's patterns (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: str.split() also splits at these, which the tokenizer takes for ordinary characters.
-NOT_SPACE = regex.compile("[\x1c-\x1f]")
+SPACES = re.compile(f"[{SPACE}]+")
+NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Most entries of each cache of a worker.
-CACHED = 300_000
+CACHED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -63,7 +66,7 @@ class Automaton:
         key = last << 20 | token
         known = self.table.get(key)
         if known is None:
-            if len(self.table) > 4 * CACHED:
+            if len(self.table) > 2 * CACHED:
                 self.table.clear()
             known = self.table[key] = self._arc(last, token)
         return known
@@ -82,6 +85,19 @@ class Automaton:
         return True
 
 
+class Chunks(dict):
+    """What runs of text encode to, found when first asked for."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, run: str) -> tuple[bytes, str, int]:
+        known = self.codec._chunk(run)
+        if len(run) <= 64:
+            self[run] = known
+        return known
+
+
 class Codec:
     """Encodes and decodes as the tokenizer of a file does, without added special tokens."""
 
@@ -98,74 +114,79 @@ class Codec:
             self.label[i] = t
         self.automaton = Automaton(size, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.letters, self.vocab = byte_letters(), vocab
-        self.longest = max(len(t) - (len(self.suffix) if t.endswith(self.suffix) else 0) for t in vocab)
-        self.word_ids: dict[str, list[int]] = {}
-        self.chunk: dict[str, tuple[bytes, str, int]] = {}
+        end = len(self.suffix)
+        self.final = {t[:-end]: i for t, i in vocab.items() if t.endswith(self.suffix)}
+        self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.suffix)}
+        self.prefix = {t[:k] for t in [*self.final, *self.inner] for k in range(1, len(t) + 1)}
+        self.spaced = [f" {t}" for t in self.label]
+        self.word: dict[str, tuple[bytes, str, int]] = {}
+        self.chunk = Chunks(self)
 
     def _path(self, word: str) -> list[int]:
         """The automaton's accepted path for one word."""
-        text = "".join(self.letters[b] for b in word.encode())
-        n, vocab, suffix, arc, longest = len(text), self.vocab, self.suffix, self.automaton.arc, self.longest
+        text = "".join([self.letters[b] for b in word.encode()])
+        n, inner, final, prefix, arc = len(text), self.inner, self.final, self.prefix, self.automaton.arc
         path: list[int] = []
         starts: list[int] = []
         dead: set[tuple[int, int]] = set()
-        at, ends = 0, min(n, longest)
+        at, most = 0, n
         while at < n:
-            token = None
-            while ends > at:
-                token = vocab.get(text[at:ends] + suffix if ends == n else text[at:ends])
-                if token is not None and (not path or arc(path[-1], token)) and (ends, token) not in dead:
+            found, ends = [], at + 1  # labels that begin here, by the trie's prefixes
+            while ends <= most and (piece := text[at:ends]) in prefix:
+                token = final.get(piece) if ends == n else inner.get(piece)
+                if token is not None:
+                    found.append((ends, token))
+                ends += 1
+            for got in reversed(found):
+                if (not path or arc(path[-1], got[1])) and got not in dead:
                     break
-                token = None
-                ends -= 1
-            if token is None:  # no arc continues: step back to a shorter label
-                ends = at - 1
-                at = starts.pop()
-                dead.add((ends + 1, path.pop()))
+            else:  # no arc continues: step back to a shorter label
+                dead.add((at, path.pop()))
+                most, at = at - 1, starts.pop()
                 continue
-            path.append(token)
+            path.append(got[1])
             starts.append(at)
-            at, ends = ends, min(n, ends + longest)
+            at, most = got[0], n
         return path
 
+    def _word(self, word: str) -> tuple[bytes, str, int]:
+        known = self.word.get(word)
+        if known is None:
+            if len(self.word) > CACHED:
+                self.word.clear()
+            ids = self._path(word)
+            known = self.word[word] = (array("I", ids).tobytes(), "".join([self.spaced[i] for i in ids]), len(ids))
+        return known
+
     def _chunk(self, chunk: str) -> tuple[bytes, str, int]:
         """Ids, labels and number of tokens of a run without white space or special tokens."""
-        ids: list[int] = []
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        for word in self.words.findall(text):
-            known = self.word_ids.get(word)
-            if known is None:
-                if len(self.word_ids) > CACHED:
-                    self.word_ids.clear()
-                known = self.word_ids[word] = self._path(word)
-            ids += known
-        return b"".join(i.to_bytes(4, "little") for i in ids), "".join(f" {self.label[i]}" for i in ids), len(ids)
+        text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        if text.isalpha():  # all letters: one word of the pattern
+            return self._word(text)
+        if text[-1] in ",.!?;:" and text[:-1].isalpha():
+            got = [self._word(text[:-1]), self._word(text[-1])]
+        else:
+            got = [self._word(w) for w in self.words.findall(text)]
+        return b"".join([g[0] for g in got]), "".join([g[1] for g in got]), sum([g[2] for g in got])
 
     def encode(self, text: str | None) -> tuple[bytes, str, int]:
         """Ids as little-endian unsigned 32-bit integers, the decoded text, and the number of tokens."""
-        ids, said, n, chunk = [], [], 0, self.chunk
-        if len(chunk) > CACHED:
-            chunk.clear()
-        parts = self.split_special.split(text or "") if self.split_special and "<" in (text or "") else [text or ""]
-        for part in parts:
-            if part in self.special:
-                got = [(self.special[part].to_bytes(4, "little"), f" {part}", 1)]
-            else:
-                runs = regex.split(f"[{SPACE}]+", part) if NOT_SPACE.search(part) else part.split()
-                got = []
-                for run in runs:
-                    known = chunk.get(run)
-                    if known is None:
-                        known = self._chunk(run)
-                        if len(run) <= 64:
-                            chunk[run] = known
-                    got.append(known)
-            if got:
-                a, b, c = zip(*got, strict=True)
-                ids += a
-                said += b
-                n += sum(c)
-        return b"".join(ids), "".join(said)[1:], n
+        text = text or ""
+        if len(self.chunk) > CACHED:
+            self.chunk.clear()
+        if "<" in text and self.split_special:
+            got = []
+            for part in self.split_special.split(text):
+                if part in self.special:
+                    got.append((self.special[part].to_bytes(4, "little"), f" {part}", 1))
+                else:
+                    got += map(self.chunk.__getitem__, self._runs(part))
+        else:
+            got = [*map(self.chunk.__getitem__, self._runs(text))]
+        return b"".join([g[0] for g in got]), "".join([g[1] for g in got])[1:], sum([g[2] for g in got])
+
+    def _runs(self, text: str) -> list[str]:
+        return [x for x in SPACES.split(text) if x] if NOT_SPACE.search(text) else text.split()
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, joined as the library's decode does for a tokenizer without a decoder."""
