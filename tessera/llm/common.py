@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,25 +26,44 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back, so that lost executors cost no recomputation.
-
-    The folder is the one that spark.checkpoint.dir names; a local one is set only where the session has none.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the one spark.checkpoint.dir names; a local one only where the session has none."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it back, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """As cut(), but as a compressed table of columns, for larger results; it goes with the checkpoint folder."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of df whose key is in keys: a broadcast of at most ``limit`` counted keys, else a shuffled semi-join."""
     few = keys.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(keys) if few else keys.hint("merge"), key, "left_semi")
 
 
+def split_by_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key is in keys and perhaps others, the rest): only the first part needs a shuffle to meet what the keys have.
+
+    At most ``limit`` counted keys are broadcast; beyond that all rows are in the first part.
+    """
+    if keys.limit(limit + 1).count() > limit:
+        return df, None
+    return df.join(F.broadcast(keys), key, "left_semi"), df.join(F.broadcast(keys), key, "left_anti")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of (a long, b long): (node, comp) with comp the smallest node of the component.
 
@@ -71,3 +91,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rolling(hashes: str, k: int) -> Column:
+    """Hashes of the k words from each place of an array column of word hashes on; the last k - 1 places are of fewer words."""
+    h = F.col(hashes)
+    return F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))))
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, as counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def documents(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, th, text): th, the text's hash, tells rows with one id apart."""
+    return df.select(F.col(doc).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def same_document(other_doc: str, other_th: str) -> Column:
+    """A join condition: rows (doc, th) with those of other names; null ids are equal."""
+    return (F.col("th") == F.col(other_th)) & F.col("doc").eqNullSafe(F.col(other_doc))

@@ -6,14 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_automaton, embedding_dedup, html_extract, language_id, resharding, suffix_dedup
+from tessera.llm import bpe_automaton, decontamination, embedding_dedup, html_extract, language_id, license_scan, resharding, suffix_dedup
 from tessera.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 32 shards, where ids lie by their hash, to 40 of near equal size."""
     put = resharding.reshard(table(spark, sf_dir, "documents"), 32, 40)
@@ -41,5 +49,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_html_extract": op2_html_extract, "op4_resharding": op4_resharding, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_html_extract": op2_html_extract, "op3_decontamination": op3_decontamination, "op4_resharding": op4_resharding, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {}
