@@ -104,9 +104,9 @@ def sized(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def documents(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, th, text): th, the text's hash, tells rows with one id apart."""
-    return df.select(F.col(doc).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def documents(df: DataFrame, doc: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """(doc, th, text) and more: th, the text's hash, tells rows with one id apart."""
+    return df.select(F.col(doc).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
 def same_document(other_doc: str, other_th: str) -> Column:

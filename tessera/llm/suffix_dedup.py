@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, keep_keys
+from tessera.llm.common import cut, cut_table, keep_keys, split_by_keys
 
 LENGTH, GRAM = 400, 128
 #: Different entries of a bucket that are sorted in one task, and entries brought together in one.
-MOST_ENTRIES, TOGETHER = 20_000, 8_000
+MOST_ENTRIES, TOGETHER = 20_000, 4_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -97,8 +97,8 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return bucket.view(np.int64), own.view(np.int64), first, last, again
 
 
-def repeated_starts(buckets: np.ndarray, texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, whether the string of ``length`` bytes from each of its starts occurs again in its bucket.
+def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text, whether the string of ``length`` bytes from each of its starts occurs again.
 
     Suffixes of all texts are refined together. pointer[i] is where the bucket of suffix i begins in suffix order.
     """
@@ -109,9 +109,7 @@ def repeated_starts(buckets: np.ndarray, texts: list[bytes], length: int = LENGT
     pointer = np.zeros(len(data), np.int64)
 
     def refine(active: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Splits the buckets of active suffixes by key; returns those still not alone."""
-        by = np.lexsort((key, pointer[active]))
-        active, key = active[by], key[by]
+        """Splits the buckets of active suffixes, which come by bucket and key; returns those still not alone."""
         old = pointer[active]
         outer = np.concatenate(([True], old[1:] != old[:-1]))
         inner = outer | np.concatenate(([True], key[1:] != key[:-1]))
@@ -121,17 +119,25 @@ def repeated_starts(buckets: np.ndarray, texts: list[bytes], length: int = LENGT
         pointer[active] = old + at[where] - begin
         return active[np.diff(np.concatenate((at, [len(active)])))[where] > 1]
 
-    active = refine(np.flatnonzero(left >= 8), eights(data)[np.flatnonzero(left >= 8)].view(np.int64))
+    def later(active: np.ndarray, off: int) -> np.ndarray:
+        """Refines by the pointers of the suffixes ``off`` bytes later; a pointer takes less than 31 bits."""
+        key = pointer[active + off]
+        by = np.argsort(pointer[active] << 31 | key)
+        return refine(active[by], key[by])
+
+    if not len(data) >= 8:
+        return [np.zeros(0, bool) for _ in texts]
+    active = np.flatnonzero(left >= 8)
+    grams = eights(data)[active].view(np.int64)
+    by = np.argsort(grams)
+    active = refine(active[by], grams[by])
     size = 8
     while size * 2 <= length:
-        active = active[left[active] >= size * 2]
-        active = refine(active, pointer[active + size])
+        active = later(active[left[active] >= size * 2], size)
         size *= 2
     starts = active[left[active] >= length]
     if size < length:
-        starts = refine(starts, pointer[starts + length - size])
-    own = np.repeat(buckets, sizes)
-    starts = refine(starts, own[starts])
+        starts = later(starts, length - size)
     found = np.zeros(len(data), bool)
     found[starts] = True
     return [found[e - s : e - length + 1] if s >= length else np.zeros(0, bool) for e, s in zip(ends, sizes, strict=True)]
@@ -172,33 +178,30 @@ def _bytes_of(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_ENTRIES) -> DataFrame:
     """(doc, th, lo, hi): runs of starts, in documents (doc, th, data), of strings that also start somewhere else."""
-    entries = cut(_entries(docs, length, gram))
-    alike = entries.groupBy("bucket", "own").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "lo", "hi")).alias("one"), F.max("again").alias("again"))
-    alike = cut(alike)
-    full = alike.groupBy("bucket").agg(F.sum("n").alias("entries"), F.count("*").alias("kinds"), F.max("again").alias("any"))
-    several = full.filter("entries > 1 OR any")
-    same = several.filter("kinds = 1 AND NOT any").select("bucket")
-    mixed = several.filter("kinds > 1 OR any").select("bucket", "kinds")
-    kinds = alike.join(mixed, "bucket").select("bucket", "own", "n", "kinds", "one.*")
-    few = cut(_bytes_of(docs, kinds.filter(F.col("kinds") <= most), length))
-    tasks = max(1, few.count() // TOGETHER + 1)
+    entries = cut_table(_entries(docs, length, gram))
+    full = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("own").alias("least"), F.max("own").alias("last"), F.max("again").alias("any"))
+    several = full.filter("n > 1 OR any").select("bucket", F.expr("least <> last OR any").alias("mixed"))
+    hits = cut_table(entries.join(several, "bucket").select("doc", "th", "bucket", "own", "lo", "hi", "mixed"))
+    mixed = hits.filter("mixed")
+    # entries with equal bytes: any of them will do
+    kinds = cut(mixed.groupBy("bucket", "own").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "lo", "hi"))))
+    tasks = kinds.count() // TOGETHER + 1
+    large = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("bucket")
+    any_large = not large.isEmpty()
 
     def refine(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_starts(pdf["bucket"].to_numpy(), pdf["data"].tolist(), length)
+        found = repeated_starts(pdf["data"].tolist(), length)
         said = [[0, len(f) - 1] if n > 1 else runs(f) for f, n in zip(found, pdf["n"], strict=True)]
         return pd.DataFrame({"bucket": pdf["bucket"], "own": pdf["own"], "runs": said})[[bool(x) for x in said]]
 
-    sorted_ = few.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInPandas(refine, "bucket long, own long, runs array<int>")
-    marks = sorted_
-    many = kinds.filter(F.col("kinds") > most)
-    if not many.isEmpty():
-        marks = marks.unionByName(_counted(_bytes_of(docs, many, length), length))
-    marks = marks.unionByName(alike.join(same, "bucket").select("bucket", "own", F.lit(None).cast("array<int>").alias("runs")))
-    hit = entries.join(cut(marks), ["bucket", "own"])
-    pairs = F.when(F.col("runs").isNull(), F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size("runs") / 2 - 1, F.lit(0)).cast("int")), lambda k: F.struct((F.col("lo") + F.col("runs")[k * 2]).alias("a"), (F.col("lo") + F.col("runs")[k * 2 + 1]).alias("b")))
-    )
-    return hit.select("doc", "th", F.explode(pairs).alias("p")).select("doc", "th", F.col("p.a").alias("lo"), F.col("p.b").alias("hi"))
+    few = _bytes_of(docs, kinds.join(large, "bucket", "left_anti") if any_large else kinds, length)
+    marks = few.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInPandas(refine, "bucket long, own long, runs array<int>")
+    if any_large:
+        marks = marks.unionByName(_counted(_bytes_of(docs, kinds.join(large, "bucket", "left_semi"), length), length))
+    hit = mixed.join(cut(marks), ["bucket", "own"])
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda k: F.struct((F.col("lo") + F.col("runs")[k * 2]).alias("a"), (F.col("lo") + F.col("runs")[k * 2 + 1]).alias("b")))
+    part = hit.select("doc", "th", F.explode(pairs).alias("p")).select("doc", "th", F.col("p.a").alias("lo"), F.col("p.b").alias("hi"))
+    return hits.filter("NOT mixed").select("doc", "th", "lo", "hi").unionByName(part)
 
 
 def _counted(entries: DataFrame, length: int) -> DataFrame:
@@ -232,7 +235,11 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int =
     docs = df.select(F.col(doc).alias("doc"), F.xxhash64(data).alias("th"), data.alias("data"))
     found = repeats(docs, length, gram, most)
     spans = found.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).withColumnsRenamed({"doc": "d2", "th": "t2"})
-    joined = docs.join(spans, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
+    spans = cut(spans)
+    hit, rest = split_by_keys(docs, spans.select(F.col("t2").alias("th")).distinct(), "th")
+    joined = hit.join(spans, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc", "data", "marks")
+    if rest is not None:
+        joined = joined.unionByName(rest.select("doc", "data", F.lit(None).cast(spans.schema["marks"].dataType).alias("marks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +255,7 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["doc", "data", "spans"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return joined.select("doc", "data", "marks").mapInArrow(run, f"doc {kind}, data binary, spans array<struct<begin:int,end:int>>")
+    return joined.mapInArrow(run, f"doc {kind}, data binary, spans array<struct<begin:int,end:int>>")
 
 
 def digest(removed: DataFrame) -> DataFrame:
