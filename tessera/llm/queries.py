@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_automaton, decontamination, embedding_dedup, html_extract, language_id, license_scan, line_dedup, resharding, suffix_dedup
+from tessera.llm import bpe_automaton, decontamination, embedding_dedup, html_extract, language_id, license_scan, line_dedup, minhash_dedup, resharding, suffix_dedup
 from tessera.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("doc").alias("doc_id"), "n_lines", "n_removed", F.md5("kept").alias("kept_md5"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "class_id", "kept")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(
         table(spark, sf_dir, "documents"), "text", ["doc_id"], public_tokenizers.path("word_bpe_49k.json"),
@@ -54,5 +58,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_html_extract": op2_html_extract, "op3_decontamination": op3_decontamination, "op4_resharding": op4_resharding, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_html_extract": op2_html_extract, "op3_decontamination": op3_decontamination, "op4_resharding": op4_resharding, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
