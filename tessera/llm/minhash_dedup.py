@@ -1,6 +1,7 @@
 """Near-duplicate documents by DartMinHash.
 
-A document is a weighted set: its word shingles with their counts. Each element has a region as wide as its weight;
+A document is a weighted set: its word shingles, a shingle's weight being the number of binary digits of its count, so that
+a phrase repeated hundreds of times doesn't outweigh the rest of a text. Each element has a region as wide as its weight;
 hashed darts fall into the regions as a Poisson process over rank, the same darts for the same element in every document.
 Darts are thrown up to the rank where k log k + 2k of them are expected in the whole document, so the cost doesn't grow
 with k times the document. Each dart hits one of k coordinates; the earliest dart of each coordinate is the signature, and
@@ -40,7 +41,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def elements(hashes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """Unit strips of a document's weighted shingles, sorted: a shingle that occurs c times has c strips."""
+    """Unit strips of a document's weighted shingles, sorted: a shingle that occurs c times has as many as c has binary digits."""
     w = hashes.view(np.uint64)
     if not len(w):
         return w
@@ -53,6 +54,8 @@ def elements(hashes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     if len(first) == len(s):
         return s
     nth = np.arange(len(s)) - np.repeat(first, np.diff(np.concatenate((first, [len(s)]))))
+    more = (nth & (nth + 1)) == 0  # the 1st, 2nd, 4th, 8th ... occurrence
+    s, nth = s[more], nth[more]
     again = nth > 0
     s[again] = mixed(s[again] + nth[again].astype(np.uint64) * M3)
     return np.sort(s)
