@@ -112,3 +112,9 @@ def documents(df: DataFrame, doc: str = "doc_id", text: str = "text", *more: Col
 def same_document(other_doc: str, other_th: str) -> Column:
     """A join condition: rows (doc, th) with those of other names; null ids are equal."""
     return (F.col("th") == F.col(other_th)) & F.col("doc").eqNullSafe(F.col(other_doc))
+
+
+def without(df: DataFrame, gone: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of df that aren't among the documents (doc, th) of gone."""
+    keys = cut(gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th")).distinct())
+    return df.join(sized(keys), F.col(doc).eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__th")), "left_anti")

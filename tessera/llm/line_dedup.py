@@ -47,14 +47,15 @@ def _salted(lines: DataFrame, some: DataFrame) -> DataFrame:
     return lines.withColumn("__salt", salt).join(copies, ["line", "__salt"], "left_semi").drop("__salt")
 
 
-def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
-    """(doc, th, text, n_lines, n_removed, kept) for every row, kept being the text without its boilerplate lines.
+def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, extra: list[str] | None = None) -> DataFrame:
+    """(doc, th, text, n_lines, n_removed, kept) and extra columns for every row, kept being the text without its boilerplate lines.
 
     Lines end at line feeds and are compared without surrounding white space; blank lines are never boilerplate. A null
     text counts as empty: one blank line. Rows alike in id and text are one document, and each keeps or loses the same
     lines. Null ids come first in order.
     """
-    rows = documents(df, doc, text, F.col(site).cast("string").alias("site"))
+    extra = extra or []
+    rows = documents(df, doc, text, F.col(site).cast("string").alias("site"), F.struct(F.lit(0).alias("_"), *extra).alias("extra"))
     lines = rows.select("doc", "th", "site", F.posexplode(line_hashes(F.col("text"))).alias("at", "line")).filter("line IS NOT NULL")
     found = cut(boilerplate(lines, sites))
     marks = found.select(F.col("line"), F.struct("doc", "th", "at").alias("first"))
@@ -63,13 +64,13 @@ def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "s
     hit = lines.withColumn("__salt", salt).join(copies, ["line", "__salt"])
     hit = hit.filter(~(F.struct("doc", "th", "at").eqNullSafe(F.col("first"))))
     gone = cut(hit.select("doc", "th", "at").distinct().groupBy("doc", "th").agg(F.collect_list("at").alias("gone")).withColumnsRenamed({"doc": "d2", "th": "t2"}))
-    touched, rest = split_by_keys(rows.select("doc", "th", "text"), gone.select(F.col("t2").alias("th")).distinct(), "th")
-    out = touched.join(gone, same_document("d2", "t2"), "left").select("doc", "th", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    touched, rest = split_by_keys(rows.select("doc", "th", "text", "extra"), gone.select(F.col("t2").alias("th")).distinct(), "th")
+    out = touched.join(gone, same_document("d2", "t2"), "left").select("doc", "th", "text", "extra", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     if rest is not None:
-        out = out.unionByName(rest.select("doc", "th", "text", F.array().cast("array<int>").alias("gone")))
-    split = out.select("doc", "th", "text", "gone", F.split("text", "\n").alias("l"))
+        out = out.unionByName(rest.select("doc", "th", "text", "extra", F.array().cast("array<int>").alias("gone")))
+    split = out.select("doc", "th", "text", "extra", "gone", F.split("text", "\n").alias("l"))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter("l", lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return split.select("doc", "th", "text", F.size("l").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
+    return split.select("doc", "th", "text", F.size("l").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"), *(F.col("extra")[c].alias(c) for c in extra))
 
 
 #: What dedup() gives, as doc_id, n_lines, n_removed and the MD5 of the kept text, in SQL.
