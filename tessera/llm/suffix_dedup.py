@@ -30,7 +30,7 @@ from tessera.llm.common import cut, cut_table, keep_keys, split_by_keys
 
 LENGTH, GRAM = 400, 128
 #: Different entries of a bucket that are sorted in one task, and entries brought together in one.
-MOST_ENTRIES, TOGETHER = 20_000, 4_000
+MOST_ENTRIES, TOGETHER = 4_000, 2_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -234,28 +234,27 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int =
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     docs = df.select(F.col(doc).alias("doc"), F.xxhash64(data).alias("th"), data.alias("data"))
     found = repeats(docs, length, gram, most)
-    spans = found.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).withColumnsRenamed({"doc": "d2", "th": "t2"})
-    spans = cut(spans)
-    hit, rest = split_by_keys(docs, spans.select(F.col("t2").alias("th")).distinct(), "th")
-    joined = hit.join(spans, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc", "data", "marks")
-    if rest is not None:
-        joined = joined.unionByName(rest.select("doc", "data", F.lit(None).cast(spans.schema["marks"].dataType).alias("marks")))
+    marks = found.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for marks in batch.column(2).to_pylist():
+            for each in batch.column(2).to_pylist():
                 merged: list[list[int]] = []
-                for a, b in sorted((m["lo"], m["hi"] + length) for m in marks or ()):
+                for a, b in sorted((m["lo"], m["hi"] + length) for m in each):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
                 out.append([{"begin": a, "end": b} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["doc", "data", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["d2", "t2", "spans"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc {kind}, data binary, spans array<struct<begin:int,end:int>>")
+    spans = cut(marks.mapInArrow(run, f"d2 {kind}, t2 long, spans array<struct<begin:int,end:int>>"))
+    none = F.array().cast(spans.schema["spans"].dataType)
+    hit, rest = split_by_keys(docs, spans.select(F.col("t2").alias("th")).distinct(), "th")
+    joined = hit.join(spans, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc", "data", F.coalesce("spans", none).alias("spans"))
+    return joined if rest is None else joined.unionByName(rest.select("doc", "data", none.alias("spans")))
 
 
 def digest(removed: DataFrame) -> DataFrame:
