@@ -41,6 +41,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+@functools.cache
+def category_range(kind: str) -> str:
+    """The inside of a character class of the code points whose general category begins with ``kind``.
+
+    As unicodedata has it; what its Unicode version leaves unassigned, as the later tables of regex have it.
+    """
+    later, out, begin = regex.compile(rf"\p{{{kind}}}"), [], None
+    for c in range(0x110001):
+        known = unicodedata.category(chr(c)) if c < 0x110000 else ""
+        # beyond, regex calls whole planes letters
+        if known[:1] == kind or (known == "Cn" and c < 0x20000 and later.match(chr(c))):
+            begin = c if begin is None else begin
+        elif begin is not None:
+            out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            begin = None
+    return "".join(out)
+
+
 class Automaton:
     """States of the tokenization automaton of a merge list; tokens are their ids."""
 
@@ -51,7 +69,15 @@ class Automaton:
         self.parent, self.deleted, self.time = [-1], [-1], [-1]
         self.gadget: dict[int, int] = {}  # (owner label, deleted label) -> time: the deletions along a state's parents
         self.table: dict[int, bool] = {}
+        self.made = [True] * n_tokens
+        for _, _, uv in merges:
+            if not self.made[uv]:
+                raise ValueError("two rules make one token")
+            self.made[uv] = False
         for time, (u, v, uv) in enumerate(merges):
+            if not (self.made[u] and self.made[v] and self._arc(u, v)):
+                continue  # earlier gadgets left no such arcs: the rule never applies
+            self.made[uv] = True
             q, r = self.state[u], self.state[v]
             self.parent.append(q)
             self.deleted.append(v)
@@ -106,8 +132,10 @@ class Codec:
         vocab, self.suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        # \\p{L} and \\p{N} stand inside classes there
+        self.words = re.compile(pattern.replace("\\p{L}", category_range("L")).replace("\\p{N}", category_range("N")).replace("\\s", SPACE))
+        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.label = [""] * size
         for t, i in [*vocab.items(), *self.special.items()]:
@@ -115,8 +143,9 @@ class Codec:
         self.automaton = Automaton(size, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.letters, self.vocab = byte_letters(), vocab
         end = len(self.suffix)
-        self.final = {t[:-end]: i for t, i in vocab.items() if t.endswith(self.suffix)}
-        self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.suffix)}
+        labels = {t: i for t, i in vocab.items() if self.automaton.made[i]}
+        self.final = {t[:-end]: i for t, i in labels.items() if t.endswith(self.suffix)}
+        self.inner = {t: i for t, i in labels.items() if not t.endswith(self.suffix)}
         self.prefix = {t[:k] for t in [*self.final, *self.inner] for k in range(1, len(t) + 1)}
         self.spaced = [f" {t}" for t in self.label]
         self.word: dict[str, tuple[bytes, str, int]] = {}
