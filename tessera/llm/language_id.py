@@ -55,6 +55,8 @@ def ngrams(text: str | None, longest: int = LONGEST) -> np.ndarray:
 
 
 def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(grams):
+        return grams, grams
     grams = np.sort(grams)
     first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     return grams[first], np.diff(np.concatenate((first, [len(grams)])))
