@@ -13,6 +13,8 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most keys that a semi-join may broadcast; beyond that it shuffles.
 BROADCAST_KEYS = 500_000
+#: A key with more than this part of the rows is dealt with by itself.
+HOT_KEYS = 1000
 
 
 def words(text: Column) -> Column:
@@ -64,6 +66,19 @@ def split_by_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCA
     return df.join(F.broadcast(keys), key, "left_semi"), df.join(F.broadcast(keys), key, "left_anti")
 
 
+def join_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows with the columns of keyed, which has each key once and how many rows have it; keys that keyed hasn't go.
+
+    Keys with over 1 / HOT_KEYS of the rows, fewer than HOT_KEYS by that, are broadcast, so that no task gets all rows of a
+    key; the others are shuffled. Both sides are read several times: they should be written tables or cheap.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot, cold = keyed.filter(F.col(n) > total / HOT_KEYS).drop(n), keyed.filter(F.col(n) <= total / HOT_KEYS).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of (a long, b long): (node, comp) with comp the smallest node of the component.
 

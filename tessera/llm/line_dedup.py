@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, documents, same_document, split_by_keys
+from tessera.llm.common import cut, cut_table, documents, join_keys, same_document, split_by_keys
 
 #: Sites that make a line boilerplate, binary logarithm of a sketch's registers, and the relative error within which an estimate isn't trusted.
 SITES, LG_K, MARGIN = 10, 10, 0.15
-#: Parts that the rows of one line are dealt over in joins.
-SALTS = 32
 
 
 def line_hashes(text: F.Column) -> F.Column:
@@ -26,25 +24,18 @@ def line_hashes(text: F.Column) -> F.Column:
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
-    """(line, doc, th, at): lines (line, site, doc, th, at) that stand on ``sites`` distinct sites or more, with their first place.
+    """(line, n, first): lines (line, site, doc, th, at) that stand on ``sites`` distinct sites or more, how often, and where first.
 
     Null sites count as no site. Only lines that occur often enough to be on so many sites are sketched.
     """
     often = lines.groupBy("line").agg(F.count("site").alias("n"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    often = cut(often.filter(F.col("n") >= sites).select("line", F.hll_sketch_estimate("sketch").alias("about")))
-    sure = often.filter(F.col("about") > sites * (1 + margin)).select("line")
-    near = often.filter(F.col("about").between(sites * (1 - margin), sites * (1 + margin))).select("line")
-    exact = _salted(lines.select("line", "site"), near).filter("site IS NOT NULL").distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= sites).select("line")
-    found = cut(sure.unionByName(exact))
-    first = _salted(lines.select("line", "doc", "th", "at"), found).groupBy("line").agg(F.min(F.struct("doc", "th", "at")).alias("x"))
-    return first.select("line", "x.doc", "x.th", "x.at")
-
-
-def _salted(lines: DataFrame, some: DataFrame) -> DataFrame:
-    """Rows of lines whose line is in some; a common line's rows are dealt over SALTS parts."""
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    copies = some.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    return lines.withColumn("__salt", salt).join(copies, ["line", "__salt"], "left_semi").drop("__salt")
+    often = cut(often.filter(F.col("n") >= sites).select("line", "n", F.hll_sketch_estimate("sketch").alias("about")))
+    sure = often.filter(F.col("about") > sites * (1 + margin)).select("line", "n")
+    near = often.filter(F.col("about").between(sites * (1 - margin), sites * (1 + margin))).select("line", "n")
+    exact = join_keys(lines.select("line", "site").filter("site IS NOT NULL").distinct(), near, "line").groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= sites)
+    found = cut(sure.unionByName(near.join(exact.select("line"), "line", "left_semi")))
+    first = join_keys(lines.select("line", "doc", "th", "at"), found, "line").groupBy("line").agg(F.min(F.struct("doc", "th", "at")).alias("first"))
+    return found.join(first, "line").select("line", "n", "first")
 
 
 def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, extra: list[str] | None = None) -> DataFrame:
@@ -57,11 +48,8 @@ def dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "s
     extra = extra or []
     rows = documents(df, doc, text, F.col(site).cast("string").alias("site"), F.struct(F.lit(0).alias("_"), *extra).alias("extra"))
     lines = rows.select("doc", "th", "site", F.posexplode(line_hashes(F.col("text"))).alias("at", "line")).filter("line IS NOT NULL")
-    found = cut(boilerplate(lines, sites))
-    marks = found.select(F.col("line"), F.struct("doc", "th", "at").alias("first"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    copies = marks.select("line", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    hit = lines.withColumn("__salt", salt).join(copies, ["line", "__salt"])
+    lines = cut_table(lines)
+    hit = join_keys(lines, cut(boilerplate(lines, sites)), "line")
     hit = hit.filter(~(F.struct("doc", "th", "at").eqNullSafe(F.col("first"))))
     gone = cut(hit.select("doc", "th", "at").distinct().groupBy("doc", "th").agg(F.collect_list("at").alias("gone")).withColumnsRenamed({"doc": "d2", "th": "t2"}))
     touched, rest = split_by_keys(rows.select("doc", "th", "text", "extra"), gone.select(F.col("t2").alias("th")).distinct(), "th")
