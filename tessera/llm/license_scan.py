@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, keep_keys, rolling, same_document, sized, word_hashes, words
+from tessera.llm.common import cut, documents, keep_keys, rolling, same_document, sized, word_hashes, words
 
 #: Words of a gram: of phrases, that have to stand as they are, and of notices, that may differ.
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, doc: str = "d
         found = exact.unionByName(merged.select("doc", "th", "label", "base", "tw", F.greatest(F.lit(0), "a").alias("start"), (F.col("b") + F.col("len")).alias("end")))
 
     # verify: the words of the spans, from the documents that have any
-    found = found.groupBy("doc", "th").agg(F.collect_list(F.struct("label", "base", "tw", "start", "end")).alias("f")).withColumnsRenamed({"doc": "d2", "th": "t2"})
+    found = cut(found.groupBy("doc", "th").agg(F.collect_list(F.struct("label", "base", "tw", "start", "end")).alias("f")).withColumnsRenamed({"doc": "d2", "th": "t2"}))
     some = keep_keys(rows, found.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
     spans = some.join(found, same_document("d2", "t2")).select("doc", "th", words(F.col("text")).alias("w"), "f")
 
