@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe_automaton, decontamination, embedding_dedup, html_extract, language_id, license_scan, line_dedup, minhash_dedup, resharding, suffix_dedup
 from tessera.llm.common import table
+from tessera.llm.oracles import ORACLE  # noqa: F401
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_license_scan": op1_license_scan, "op2_html_extract": op2_html_extract, "op3_decontamination": op3_decontamination, "op4_resharding": op4_resharding, "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup, "op8_minhash_dedup": op8_minhash_dedup, "op9_bpe": op9_bpe, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
