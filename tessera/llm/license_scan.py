@@ -78,7 +78,8 @@ def diagonals(hashed: DataFrame, places: DataFrame, k: int) -> DataFrame:
 def scan(docs: DataFrame, templates: list[Template] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for every row.
 
-    A span has label, base, start, end (words, end exclusive) and coverage. Phrases must stand word by word, wherever they
+    A span has label, base, start, end (words, end exclusive) and coverage; one inside a longer span counts only for base
+    phrases. Phrases must stand word by word, wherever they
     stand, overlapping too; notices may miss a fifth of their words. score is the largest coverage, 0 without a span.
     Null and empty texts have no words. Rows with one id are told apart by their text; repeated rows have the same
     result each.
@@ -121,6 +122,9 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, doc: str = "d
 
     checked = F.transform("f", lambda s: F.struct(s["label"].alias("label"), s["base"].alias("base"), s["start"].cast("long").alias("start"), F.least(s["end"], F.size("w")).cast("long").alias("end"), coverage(s).alias("coverage"), (F.size(s["tw"]) == s["end"] - s["start"]).alias("whole")))
     spans = spans.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), F.filter(checked, lambda s: F.when(s["base"], s["coverage"] == 1.0).otherwise(s["coverage"] >= COVERAGE)).alias("spans"))
+    # "cc by" says nothing where it is a part of "cc by nc"
+    wider = lambda o, s: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    spans = spans.withColumn("spans", F.filter("spans", lambda s: s["base"] | ~F.exists("spans", lambda o: wider(o, s))))
 
     base = F.filter("spans", lambda s: s["base"])
     none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,end:bigint,coverage:double>>")

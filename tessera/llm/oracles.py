@@ -15,12 +15,13 @@ def _license() -> str:
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents
 ), t(n, label, base, phrase, len) AS (VALUES {values}
 ), p AS (SELECT doc_id, len, unnest(range(0, greatest(len(w) - len + 1, 0))) AS place, w FROM w, (SELECT DISTINCT len FROM t) WHERE len(w) >= len
-), s AS (SELECT doc_id, place, label, base FROM (SELECT doc_id, place, len, array_to_string(w[place + 1 : place + len], ' ') AS said FROM p) JOIN t ON t.phrase = said AND t.len = p_len(len))
+), f AS (SELECT doc_id, place, label, base, t.len FROM (SELECT doc_id, place, len, array_to_string(w[place + 1 : place + len], ' ') AS said FROM p) JOIN t ON t.phrase = said
+), s AS (SELECT * FROM f WHERE base OR NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.place <= f.place AND o.place + o.len >= f.place + f.len AND o.len > f.len))
 SELECT w.doc_id, len(any_value(w))::BIGINT AS n_words, count(*) FILTER (WHERE base) AS n_base, min(place) FILTER (WHERE base) AS first_word, max(place) FILTER (WHERE base) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
   CASE WHEN count(label) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id
-""".replace("t.len = p_len(len)", "t.len = len(string_split(said, ' '))")
+"""
 
 
 _GRAMS = "list_transform(range(0, len({0}) - {1} + 1), lambda k: array_to_string({0}[k + 1 : k + {1}], ' '))"
