@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import dataflow
-from tessera.operators.index import Index, entries_of
+from tessera.operators.index import CityIndex, Index, IndexManager, entries_of
 from tessera.operators.keyed_table import CUSTOMER, ColumnDef, KeyedTable, TableSchema
 from tessera.plans import parquet_stats
 from tessera.session import scratch, table
@@ -128,6 +128,53 @@ def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("squares").option("upto", 40).load()
 
 
+@query("SELECT n_nationkey AS n, n_name AS name FROM nation")
+def custom_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's storage: written by partitions, read back by its own splits."""
+    folder = scratch(spark).removeprefix("file:")
+
+    def write(rows: Iterator, options: dict) -> str:
+        import os
+        import uuid
+
+        os.makedirs(options["folder"], exist_ok=True)
+        path = os.path.join(options["folder"], uuid.uuid4().hex)
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(f"{r[0]}\t{r[1]}\n" for r in rows)
+        return path
+
+    def commit(paths: list, options: dict) -> None:
+        with open(f"{options['folder']}/_manifest", "w", encoding="utf-8") as f:
+            f.writelines(f"{p}\n" for p in paths)
+
+    def splits(options: dict) -> list[str]:
+        return open(f"{options['folder']}/_manifest", encoding="utf-8").read().split()
+
+    def read(path: str, options: dict) -> Iterator[tuple]:
+        for line in open(path, encoding="utf-8"):
+            n, name = line.rstrip("\n").split("\t")
+            yield int(n), name
+
+    spark.dataSource.register(files.custom_format("manifest", "n int, name string", splits, read, write, commit))
+    table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name")).repartition(3).write.format("manifest").option("folder", folder).mode("append").save()
+    return spark.read.format("manifest").option("folder", folder).load()
+
+
+# scalar functions
+
+
+@query("""SELECT c_custkey, lower(trim('  ' || c_mktsegment || ' ')) AS trimmed, list_extract(string_split(c_name, '#'), 2) AS part, CAST(list_extract(string_split(c_name, '#'), 2) AS INTEGER) AS parsed,
+ CAST(c_custkey AS VARCHAR) AS shown, c_custkey * 2 + 1 AS v, 'a b&c' AS text, 'a%20b%26c' AS encoded, lpad(CAST(c_custkey AS VARCHAR), 20, '0') AS padded, octet_length(encode(c_name)) AS bytes, 'x' || c_mktsegment || ',y' AS joined FROM customer""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    digits = scalar.field(F.col("c_name"), "#", 1)
+    return c.select(
+        "c_custkey", scalar.normal_key(F.concat(F.lit(" \t"), "c_mktsegment", F.lit("\n"))).alias("trimmed"), digits.alias("part"), digits.cast("int").alias("parsed"), F.col("c_custkey").cast("string").alias("shown"),
+        (F.col("c_custkey") * 2 + 1).alias("v"), scalar.hex_text(F.lit("0x6120622663")).alias("text"), F.regexp_replace(F.url_encode(F.lit("a b&c")), "\\+", "%20").alias("encoded"), scalar.numbered("", F.col("c_custkey"), 20).alias("padded"),
+        F.length(F.encode("c_name", "UTF-8")).cast("long").alias("bytes"), F.array_join(F.split(F.concat(F.lit("x"), "c_mktsegment", F.lit(",y")), ","), ",").alias("joined"),
+    )
+
+
 # map, filter, projection
 
 
@@ -220,9 +267,44 @@ def schema_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("id", F.array_join(CUSTOMER.errors(bad), ", ").alias("errors"))
 
 
+@query("SELECT * FROM (VALUES ('missing', FALSE, 'no-op'), ('present', TRUE, 'NotImplementedError')) t(key, found, outcome)")
+def delete_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleting a missing key does nothing; a present one can't be deleted."""
+    t = KeyedTable(spark, "t", CUSTOMER, scratch(spark))
+    t.insert({"id": "present", "name": "n", "email": "e", "age": None, "city": None})
+    said = []
+    for key in ("missing", "present"):
+        try:
+            said.append((key, t.delete(key), "no-op"))
+        except NotImplementedError as e:
+            said.append((key, True, type(e).__name__))
+    return files.rows(spark, said, "key string, found boolean, outcome string")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'c_name', 5, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment')) t(name, key, column_count, columns)")
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = KeyedTable(spark, "customer", C_TABLE, scratch(spark)).stats()
+    return files.rows(spark, [(stats["name"], stats["key"], stats["column_count"], ",".join(stats["columns"]))], "name string, key string, column_count int, columns string")
+
+
 # pruned reads and footers
 
 
+@query("SELECT * FROM (VALUES ('equal', 1::BIGINT, 1::BIGINT), ('range', 2, 301), ('absent', 0, 0)) t(bound, kept, found)")
+def row_group_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups that statistics leave, of 1500 rows in three row groups, and the rows that match."""
+    path = scratch(spark)
+    spark.range(1, 1501, 1, 1).select(F.col("id").alias("c_custkey"), scalar.numbered("Customer#", F.col("id"), 9).alias("c_name")).write.option("maxRecordsPerFile", 500).parquet(path)
+    stats = parquet_stats.footers(spark, path)
+    key, low, high = F.lit("Customer#000000077"), F.lit(400), F.lit(700)
+    equal = parquet_stats.may_hold(stats, "c_name", low=key, high=key, kind="string").agg(F.lit("equal").alias("bound"), F.count("*").alias("kept"))
+    ranged = parquet_stats.may_hold(stats, "c_custkey", low=low, high=high, kind="long").agg(F.lit("range").alias("bound"), F.count("*").alias("kept"))
+    absent = parquet_stats.may_hold(stats, "c_custkey", above=F.lit(10_000_000), kind="long").agg(F.lit("absent").alias("bound"), F.count("*").alias("kept"))
+    written = spark.read.parquet(path)
+    found = written.agg(F.count_if(F.col("c_name") == key).alias("equal"), F.count_if(F.col("c_custkey").between(400, 700)).alias("range"), F.lit(0).cast("long").alias("absent")).unpivot([], ["equal", "range", "absent"], "bound", "found")
+    return equal.union(ranged).union(absent).join(found, "bound")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_size > 35")
 def filter_gt_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.greater_than(table(spark, sf_dir, "part"), "p_size", 35, ["p_partkey", "p_name"])
@@ -282,6 +364,30 @@ def index_fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).rows("building", table(spark, sf_dir, "customer"), "c_name").select("c_name", "c_acctbal")
 
 
+@query("SELECT lower(trim(c_mktsegment)) AS city, count(*) AS customers FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")
+def city_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys trimmed and in lower case; blank and null ones aren't indexed."""
+    index = CityIndex(spark, scratch(spark))
+    city = F.when(F.col("c_custkey") % 3 == 0, F.when(F.col("c_custkey") % 2 == 0, " ")).otherwise(F.concat(F.lit(" "), F.upper("c_mktsegment"), F.lit("\t")))
+    index.build_from(table(spark, sf_dir, "customer").withColumn("city", city), "city", "c_name", "c_custkey")
+    return spark.read.parquet(index.index.path).groupBy(F.col("key").alias("city")).agg(F.count("*").alias("customers"))
+
+
+@query("SELECT * FROM (VALUES ('city', 'rome', 'a,b'), ('city', 'oslo', 'c'), ('type', 'x', 'a')) t(name, key, found)")
+def index_manager(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several indexes by name, before and after they are built."""
+    m = IndexManager(spark, scratch(spark))
+    for name, key, value in (("city", "rome", "a"), ("type", "x", "a"), ("city", "rome", "b"), ("city", "oslo", "c")):
+        m.register(name)
+        m.add(name, key, value)
+    m.add("nosuch", "rome", "z")
+    before = [(n, k, ",".join(m.lookup(n, k))) for n, k in (("city", "rome"), ("city", "oslo"), ("type", "x"), ("nosuch", "rome"), ("city", "bonn"))]
+    assert m.build("city") and m.build("type") and not m.build("nosuch")
+    after = [(n, k, ",".join(m.lookup(n, k))) for n, k, _ in before]
+    assert before == after
+    return files.rows(spark, [x for x in after if x[2]], "name string, key string, found string")
+
+
 # objects
 
 
@@ -330,6 +436,39 @@ def object_list_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_listing(*(found.filter(shard.isin(k, (k + 1) % 3)) for k in range(3)))
 
 
+@query("SELECT 'nation-' || n_nationkey AS key FROM nation WHERE n_nationkey >= 5")
+def object_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _nations(spark, sf_dir)
+    for k in (0, 1, 2, 3, 4, 4, 99):
+        store.delete(f"nation-{k}")
+    return store.scan("nation-").select("key")
+
+
+@query("SELECT * FROM (VALUES ('a.txt', 1::BIGINT, FALSE, 1, 4096::BIGINT), ('b', 0::BIGINT, TRUE, 1, 4096::BIGINT)) t(name, length, is_directory, replication, block_size)")
+def object_list_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ObjectStore(spark, scratch(spark))
+    store.put("dir/a.txt", b"x")
+    store.put("dir/b/c.txt", b"yz")
+    status = store.list_status("dir")
+    return status.select(F.substring_index("uri", "/", -1).alias("name"), F.when(F.col("is_directory"), 0).otherwise(F.col("length")).cast("long").alias("length"), "is_directory", "replication", "block_size")
+
+
+@query("SELECT * FROM (VALUES (FALSE, 'a.txt'), (TRUE, 'a.txt'), (TRUE, 'c.txt')) t(recursive, name)")
+def object_list_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ObjectStore(spark, scratch(spark))
+    store.put("dir/a.txt", b"x")
+    store.put("dir/b/c.txt", b"yz")
+    return files.rows(spark, [(r, p.rpartition("/")[2]) for r in (False, True) for p in store.list_from("dir", r)], "recursive boolean, name string")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size < 5")
+def object_parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet that lies among a store's objects: footers and columns are read by ranges."""
+    store = ObjectStore(spark, scratch(spark))
+    table(spark, sf_dir, "part").write.parquet(f"{store.base}/tables/part")
+    return files.parquet(spark, f"{store.base}/tables/part", "p_partkey", "p_size").filter(F.col("p_size") < 5)
+
+
 @query("SELECT count(*) AS total, count(DISTINCT c_name) AS keys, 1::BIGINT AS buckets_of_a_key FROM customer")
 def hash_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_name", scalar.bucket(F.col("c_name"), 7).alias("b"))
@@ -353,3 +492,14 @@ def partitioned_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     log.write_partitioned(table(spark, sf_dir, "customer"), path, "c_mktsegment")
     return log.read_partition(spark, path, F.col("c_mktsegment") == "FURNITURE").select("c_custkey", "c_name")
+
+
+@query("SELECT i::INTEGER AS version, 'add' AS op FROM range(0, 3) t(i)")
+def log_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as a stream, as far as it goes."""
+    store, out = ObjectStore(spark, scratch(spark)), scratch(spark)
+    for v in range(3):
+        log.append(store, v, f'{{"version": {v}, "timestamp": {v}, "operation": {{"op": "add", "path": "p{v}"}}}}')
+    stream = log.follow(spark, store.base).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    stream.awaitTermination()
+    return spark.read.schema(log.ENTRY).parquet(out).select("version", "operation.op")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 
@@ -89,12 +89,32 @@ class Split(InputPartition):
         self.at = at
 
 
-def custom_format(name: str, schema: str, splits: Callable[[dict], Iterable], read: Callable[[object, dict], Iterator[tuple]]) -> type[DataSource]:
-    """A data source from two functions: the splits of a load's options, and the rows of a split.
+class Written(WriterCommitMessage):
+    def __init__(self, what: object):
+        self.what = what
 
-    Register it with spark.dataSource.register() and load it with spark.read.format(name).
+
+def custom_format(
+    name: str, schema: str, splits: Callable[[dict], Iterable], read: Callable[[object, dict], Iterator[tuple]],
+    write: Callable[[Iterator, dict], object] | None = None, commit: Callable[[list, dict], None] | None = None,
+) -> type[DataSource]:
+    """A data source from functions: the splits of a load's options, and the rows of a split.
+
+    write() stores one partition's rows and says what it wrote; commit() gets what all partitions said, once, when all are
+    done. Register it with spark.dataSource.register(); it is spark.read.format(name) and df.write.format(name).
     """
 
+    class Writer(DataSourceWriter):
+        def __init__(self, options: dict):
+            self.options = options
+
+        def write(self, iterator: Iterator) -> Written:
+            return Written(write(iterator, self.options))
+
+        def commit(self, messages: list) -> None:
+            if commit:
+                commit([m.what for m in messages if m is not None], self.options)
+
     class Reader(DataSourceReader):
         def __init__(self, options: dict):
             self.options = options
@@ -116,4 +136,9 @@ def custom_format(name: str, schema: str, splits: Callable[[dict], Iterable], re
         def reader(self, schema: StructType) -> DataSourceReader:
             return Reader(dict(self.options))
 
+        def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+            if write is None:
+                raise NotImplementedError(f"{name} can't be written")
+            return Writer(dict(self.options))
+
     return Source
