@@ -39,8 +39,7 @@ WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents
 ), b AS (SELECT doc_id, item_id, s, g, count(*) AS b FROM starts JOIN its USING (item_id) GROUP BY ALL
 ), sim AS (SELECT doc_id, item_id, s, sum(least(coalesce(a, 0), coalesce(b, 0))) / sum(greatest(coalesce(a, 0), coalesce(b, 0))) AS v FROM a FULL JOIN b USING (doc_id, item_id, s, g) GROUP BY ALL
 ), best AS (SELECT doc_id, item_id, max(v) AS v FROM sim WHERE v >= {decontamination.SIMILARITY} GROUP BY ALL)
-SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, min(row(-v, item_id))[2] AS best_item, coalesce(max(v), 0)::DOUBLE AS best_similarity
-FROM d LEFT JOIN best USING (doc_id) GROUP BY d.doc_id
+SELECT doc_id, count(*) AS n_items, min(row(-v, item_id))[2] AS best_item, max(v)::DOUBLE AS best_similarity FROM best GROUP BY doc_id
 """
 
 EMBEDDINGS = f"""

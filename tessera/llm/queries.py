@@ -20,7 +20,9 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The contaminated documents."""
+    done = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.filter("contaminated").drop("contaminated")
 
 
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

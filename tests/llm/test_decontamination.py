@@ -28,9 +28,9 @@ def test_whole_table(spark, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     want = brute(texts(spark, small), items)
     rows = op3_decontamination(spark, small).collect()
-    assert len(rows) == len(want) and any(want.values())
+    assert sorted(r.doc_id for r in rows) == sorted(d for d in want if want[d]) and rows
     for r in rows:
-        assert r.contaminated == bool(want[r.doc_id]) and r.n_items == len(want[r.doc_id])
+        assert r.n_items == len(want[r.doc_id])
         assert r.best_similarity == pytest.approx(max(want[r.doc_id].values(), default=0))
 
 
