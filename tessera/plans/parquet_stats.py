@@ -3,28 +3,49 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import file_system
+
+#: Stores that tasks can read by ranges; of files elsewhere Spark hands over the whole content.
+RANGED = {"file", "s3", "s3a", "gs", "hdfs"}
 FOOTER = "file string, row_group int, row_group_rows long, column string, type string, min_value string, max_value string, null_count long, value_count long"
 
 
+def _open(path: str, content: bytes | None) -> pq.ParquetFile:
+    if content is not None:
+        return pq.ParquetFile(io.BytesIO(content))
+    if path.startswith("file:"):
+        return pq.ParquetFile(re.sub("^file:/+", "/", path))
+    fs, at = pa.fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
+    return pq.ParquetFile(fs.open_input_file(at))
+
+
+def _ranged(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.makeQualified(p).toUri().getScheme() in RANGED
+
+
 def footers(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file, row group and column, with the column's statistics as text (null where there are none).
 
-    Files are listed by Spark and their footers read by tasks; the rows are as many as the footers'.
+    Spark lists the files; tasks read their footers, by ranges where the store allows. The rows are as many as the footers'.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    files = files.select("path", F.lit(None).cast("binary").alias("content")) if _ranged(spark, path) else files.select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                meta = pq.ParquetFile(io.BytesIO(content.as_py())).metadata
+                meta = _open(name, content.as_py()).metadata
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
                     for c in range(group.num_columns):
@@ -36,7 +57,7 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
             kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], names=[x.split(" ")[0] for x in FOOTER.split(", ")])
 
-    return files.select("path", "content").mapInArrow(read, FOOTER)
+    return files.mapInArrow(read, FOOTER)
 
 
 def _text(value: object) -> str:
@@ -71,16 +92,20 @@ def may_hold(stats: DataFrame, column: str, low: Column | None = None, high: Col
 
 def read_row_groups(spark: SparkSession, chosen: DataFrame, columns: list[str], schema: str) -> DataFrame:
     """Rows of just the chosen row groups (file, row_group); a task reads a file's chosen groups one after another."""
-    files = chosen.groupBy("file").agg(F.array_sort(F.collect_list("row_group")).alias("groups"))
-    paths = [r[0] for r in files.select("file").collect()]  # one path a file
-    if not paths:
+    files = chosen.groupBy("file").agg(F.array_sort(F.collect_list("row_group")).alias("groups"))  # a file's row groups are few
+    one = files.select("file").first()
+    if one is None:
         return spark.createDataFrame([], schema)
-    content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content").join(files, "file")
+    if _ranged(spark, one[0]):
+        content = files.select("file", F.lit(None).cast("binary").alias("content"), "groups")
+    else:
+        paths = [r[0] for r in files.select("file").collect()]  # names of files only
+        content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content").join(files, "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, groups in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                file = pq.ParquetFile(io.BytesIO(data.as_py()))
+            for name, data, groups in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                file = _open(name, data.as_py())
                 for g in groups:
                     yield from file.read_row_group(g, columns=columns).select(columns).to_batches()
 
