@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_arrow
+
 #: Characters that count as white space for the tokenizer's patterns (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: str.split() also splits at these, which the tokenizer takes for ordinary characters.
 SPACES = re.compile(f"[{SPACE}]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-#: Most entries of each cache of a worker.
-CACHED = 400_000
+#: Most entries of a generation of each cache of a worker.
+CACHED = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -111,16 +113,21 @@ class Automaton:
         return True
 
 
-class Chunks(dict):
-    """What runs of text encode to, found when first asked for."""
+class Recent(dict):
+    """What was made lately: two generations of ``most`` entries; the older one is forgotten when the newer is full."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHED):
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, run: str) -> tuple[bytes, str, int]:
-        known = self.codec._chunk(run)
-        if len(run) <= 64:
-            self[run] = known
+    def __missing__(self, key: str) -> bytes:
+        known = self.old.get(key)
+        if known is None:
+            known = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = known
         return known
 
 
@@ -148,8 +155,8 @@ class Codec:
         self.inner = {t: i for t, i in labels.items() if not t.endswith(self.suffix)}
         self.prefix = {t[:k] for t in [*self.final, *self.inner] for k in range(1, len(t) + 1)}
         self.spaced = [f" {t}" for t in self.label]
-        self.word: dict[str, tuple[bytes, str, int]] = {}
-        self.chunk = Chunks(self)
+        self.word = Recent(lambda w: array("I", self._path(w)).tobytes())
+        self.chunk = Recent(self._chunk)
 
     def _path(self, word: str) -> list[int]:
         """The automaton's accepted path for one word."""
@@ -178,48 +185,34 @@ class Codec:
             at, most = got[0], n
         return path
 
-    def _word(self, word: str) -> tuple[bytes, str, int]:
-        known = self.word.get(word)
-        if known is None:
-            if len(self.word) > CACHED:
-                self.word.clear()
-            ids = self._path(word)
-            known = self.word[word] = (array("I", ids).tobytes(), "".join([self.spaced[i] for i in ids]), len(ids))
-        return known
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str, int]:
-        """Ids, labels and number of tokens of a run without white space or special tokens."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a run without white space or special tokens."""
         text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         if text.isalpha():  # all letters: one word of the pattern
-            return self._word(text)
+            return self.word[text]
         if text[-1] in ",.!?;:" and text[:-1].isalpha():
-            got = [self._word(text[:-1]), self._word(text[-1])]
-        else:
-            got = [self._word(w) for w in self.words.findall(text)]
-        return b"".join([g[0] for g in got]), "".join([g[1] for g in got]), sum([g[2] for g in got])
+            return self.word[text[:-1]] + self.word[text[-1]]
+        return b"".join([self.word[w] for w in self.words.findall(text)])
 
     def encode(self, text: str | None) -> tuple[bytes, str, int]:
         """Ids as little-endian unsigned 32-bit integers, the decoded text, and the number of tokens."""
         text = text or ""
-        if len(self.chunk) > CACHED:
-            self.chunk.clear()
         if "<" in text and self.split_special:
-            got = []
+            ids = b""
             for part in self.split_special.split(text):
-                if part in self.special:
-                    got.append((self.special[part].to_bytes(4, "little"), f" {part}", 1))
-                else:
-                    got += map(self.chunk.__getitem__, self._runs(part))
+                ids += self.special[part].to_bytes(4, "little") if part in self.special else b"".join(map(self.chunk.__getitem__, self._runs(part)))
         else:
-            got = [*map(self.chunk.__getitem__, self._runs(text))]
-        return b"".join([g[0] for g in got]), "".join([g[1] for g in got])[1:], sum([g[2] for g in got])
+            ids = b"".join(map(self.chunk.__getitem__, self._runs(text)))
+        return ids, self.decode(ids), len(ids) // 4
 
     def _runs(self, text: str) -> list[str]:
         return [x for x in SPACES.split(text) if x] if NOT_SPACE.search(text) else text.split()
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, joined as the library's decode does for a tokenizer without a decoder."""
-        return " ".join(self.label[int.from_bytes(ids[k : k + 4], "little")] for k in range(0, len(ids), 4))
+        arcs = array("I")  # machines are little-endian here, as Arrow's are
+        arcs.frombytes(ids)
+        return "".join(map(self.spaced.__getitem__, arcs))[1:]
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,14 +233,12 @@ def encode_decode(df: DataFrame, text: str, keep: list[str], tokenizer: str, emi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = [emit(*c.encode(t.as_py())) for t in part.column(part.num_columns - 1)]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(x) for x in cols)], names=[*keep, *names])
+            if batch.num_rows:
+                rows = [emit(*c.encode(t.as_py())) for t in batch.column(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x) for x in zip(*rows, strict=True))], names=[*keep, *names])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), schema])
-    return source.mapInArrow(run, ddl)
+    return map_arrow(source, run, ddl)
 
 
 def digests(ids: bytes, decoded: str, n: int) -> tuple:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most keys that a semi-join may broadcast; beyond that it shuffles.
 BROADCAST_KEYS = 500_000
+#: Rows of an Arrow batch that Python gets.
+ARROW_ROWS = 500
 #: A key with more than this part of the rows is dealt with by itself.
 HOT_KEYS = 1000
 
@@ -50,6 +54,19 @@ def cut_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches that stay small where rows hold whole texts: the session's batch limit is lowered to ARROW_ROWS. Arrow's memory is given back at the end."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+
+    return df.mapInArrow(run, schema)
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of df whose key is in keys: a broadcast of at most ``limit`` counted keys, else a shuffled semi-join."""
     few = keys.limit(limit + 1).count() <= limit
@@ -79,7 +96,7 @@ def join_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> Data
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Connected components of (a long, b long): (node, comp) with comp the smallest node of the component.
 
     Alternating large-star and small-star rounds, each written to the checkpoint folder. Every round groups edges by
@@ -101,6 +118,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 

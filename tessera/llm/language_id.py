@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import map_arrow
+
 UNKNOWN = "und"
 #: N-grams in a profile, letters in the longest n-gram, and texts of a language that profiles are learned from (expected number).
 PROFILE_SIZE, LONGEST, TRAINING_TEXTS = 300, 3, 3000
@@ -129,7 +131,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
             for name, found in totals.items():
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["lang", "code", "n"])
 
-    grams = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = map_arrow(chosen, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     lists: dict[str, list[int]] = {}
     for r in grams.withColumn("place", place).filter(F.col("place") <= size).orderBy("lang", "place").collect():
@@ -148,10 +150,8 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                said = [profiles.predict(t.as_py()) for t in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*keep, "lang_pred", "score"])
+            said = [profiles.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "lang_pred string, score double"])
-    return source.mapInArrow(run, ddl)
+    return map_arrow(source, run, ddl)
