@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, cut_table, documents, keep_keys, same_document, word_hashes
+from tessera.llm.common import components, cut, cut_table, documents, join_keys, keep_keys, map_arrow, same_document, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: With these a pair at the threshold becomes a candidate with probability 0.9997.
@@ -134,7 +134,7 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc, th, sig, bands) of documents with words; sig tells different weighted sets apart."""
+    """(doc, th, sig, bands) of documents; sig tells different weighted sets apart and is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +142,16 @@ def _signed(rows: DataFrame, shingle: int) -> DataFrame:
             values, offsets = h.values.to_numpy(), h.offsets.to_numpy()
             sigs, found = [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                if a == b:
+                    sigs.append(None)
+                    found.append([])
+                    continue
                 strips = elements(values[a:b], shingle)
                 sigs.append(int.from_bytes(hashlib.blake2b(strips.tobytes(), digest_size=8).digest(), "little", signed=True))
                 found.append(bands(signature(strips)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "th", "sig", "bands"])
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, th long, sig long, bands array<long>")
+    return map_arrow(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, th long, sig long, bands array<long>")
 
 
 def _strips(rows: DataFrame, shingle: int) -> DataFrame:
@@ -160,7 +164,7 @@ def _strips(rows: DataFrame, shingle: int) -> DataFrame:
             found = [elements(values[a:b], shingle).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["sig", "strips"])
 
-    return rows.mapInArrow(run, "sig long, strips binary")
+    return map_arrow(rows, run, "sig long, strips binary")
 
 
 def compared(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -191,7 +195,8 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity
     """
     rows = documents(docs, doc, text)
     hashed = rows.select("doc", "th", word_hashes(F.col("text")).alias("h"))
-    signed = cut_table(_signed(hashed.filter(F.size("h") > 0), shingle))
+    every = cut_table(_signed(hashed, shingle))
+    signed = every.filter("sig IS NOT NULL")
     reps = signed.groupBy("sig").agg(F.first("doc").alias("doc"), F.first("th").alias("th"))
     keys = signed.select("sig", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("low")).filter("n > 1").select("key", "low")
@@ -199,7 +204,7 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity
     groups = components(edges).withColumnsRenamed({"node": "sig", "comp": "grp"})
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     members = cut(groups.join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")))
-    of = members.select("sig").join(reps, "sig").withColumnsRenamed({"doc": "d2", "th": "t2"})
+    of = cut(members.select("sig").join(reps, "sig").withColumnsRenamed({"doc": "d2", "th": "t2"}))
     some = keep_keys(hashed.select("doc", "th", "h"), of.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
     strips = _strips(some.join(of, same_document("d2", "t2")).select("sig", "h"), shingle)
     bundles = members.count() // block + 1
@@ -209,6 +214,6 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity
     found = components(links)
     labelled = signed.select("doc", "th", "sig").join(found, F.col("sig") == F.col("node"), "left").select("doc", "th", F.coalesce("comp", "sig").alias("comp"))
     labelled = cut(labelled)
-    best = labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("best"))
-    out = labelled.join(best, "comp").select("doc", "th", F.col("best.doc").alias("class_id"), (F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("th") == F.col("best.th"))).alias("kept"))
-    return out.unionByName(hashed.filter(F.size("h") == 0).select("doc", "th", F.col("doc").alias("class_id"), F.lit(True).alias("kept")))
+    best = cut(labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("best"), F.count("*").alias("n")))
+    out = join_keys(labelled, best, "comp").select("doc", "th", F.col("best.doc").alias("class_id"), (F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("th") == F.col("best.th"))).alias("kept"))
+    return out.unionByName(every.filter("sig IS NULL").select("doc", "th", F.col("doc").alias("class_id"), F.lit(True).alias("kept")))
