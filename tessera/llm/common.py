@@ -96,25 +96,27 @@ def join_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> Data
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100, hot_from: int = 2_000_000) -> DataFrame:
     """Connected components of (a long, b long): (node, comp) with comp the smallest node of the component.
 
     Alternating large-star and small-star rounds, each written to the checkpoint folder. Every round groups edges by
-    one end with partial minima; no component is ever gathered in one task. Empty edges give an empty result; loops and
-    repeated edges do no harm.
+    one end with partial minima; no component is ever gathered in one task, and with ``hot_from`` edges or more (fewer are
+    no load for any task) a node with very many is joined by itself. Empty edges give an empty result; loops and repeated
+    edges do no harm.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    size = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    before = e.agg(*size).first()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # a node without larger neighbours keeps no edge of its own here; its smaller neighbours have it
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = cut(small.filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        above = both.filter("v > u")
+        large = join_keys(above, cut(low), "u") if before[0] >= hot_from else above.join(low, "u")
+        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node has few smaller neighbours now
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        e = cut(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        now = e.agg(*size).first()
         if now == before:
             break
         before = now

@@ -1,14 +1,16 @@
 import random
 
+import pytest
 from helpers import classes
 
 from tessera.llm.common import components, join_keys
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot_from", [0, 2_000_000])
+def test_components(spark, hot_from):
     rng = random.Random(0)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(1, 200)] + [(5, 5), (7, 8), (7, 8)]
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long"), hot_from=hot_from).collect()
     want = classes({x for e in edges for x in e}, edges)
     alone = {k for k in want if all(a == b for a, b in edges if k in (a, b))}
     assert sorted((r.node, r.comp) for r in got) == sorted((k, c) for k, c in want.items() if k not in alone)
