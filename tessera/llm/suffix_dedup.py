@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, cut_table, keep_keys, split_by_keys
+from tessera.llm.common import cut, cut_table, join_keys, keep_keys, map_arrow, split_by_keys
 
 LENGTH, GRAM = 400, 128
 #: Different entries of a bucket that are sorted in one task, and entries brought together in one.
@@ -153,18 +153,18 @@ def runs(flags: np.ndarray, length: int = LENGTH) -> list[int]:
 def _entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                got = [segments(t.as_py() or b"", length, gram) for t in part.column(2)]
-                n = [len(g[0]) for g in got]
-                at = np.repeat(np.arange(len(n)), n)
-                cols = [np.concatenate([g[k] for g in got]) for k in range(5)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), *(pa.array(c) for c in cols[:2]), *(pa.array(c.astype(np.int32)) for c in cols[2:4]), pa.array(cols[4])],
-                    names=["doc", "th", "bucket", "own", "lo", "hi", "again"],
-                )
+            if not batch.num_rows:
+                continue
+            got = [segments(t.as_py() or b"", length, gram) for t in batch.column(2)]
+            n = [len(g[0]) for g in got]
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            cols = [np.concatenate([g[k] for g in got]) for k in range(5)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c) for c in cols[:2]), *(pa.array(c.astype(np.int32)) for c in cols[2:4]), pa.array(cols[4])],
+                names=["doc", "th", "bucket", "own", "lo", "hi", "again"],
+            )
 
-    return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, bucket long, own long, lo int, hi int, again boolean")
+    return map_arrow(docs, run, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, bucket long, own long, lo int, hi int, again boolean")
 
 
 def _bytes_of(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -180,8 +180,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     """(doc, th, lo, hi): runs of starts, in documents (doc, th, data), of strings that also start somewhere else."""
     entries = cut_table(_entries(docs, length, gram))
     full = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("own").alias("least"), F.max("own").alias("last"), F.max("again").alias("any"))
-    several = full.filter("n > 1 OR any").select("bucket", F.expr("least <> last OR any").alias("mixed"))
-    hits = cut_table(entries.join(several, "bucket").select("doc", "th", "bucket", "own", "lo", "hi", "mixed"))
+    several = cut(full.filter("n > 1 OR any").select("bucket", "n", F.expr("least <> last OR any").alias("mixed")))
+    hits = cut_table(join_keys(entries, several, "bucket").select("doc", "th", "bucket", "own", "lo", "hi", "mixed"))
     mixed = hits.filter("mixed")
     # entries with equal bytes: any of them will do
     kinds = cut(mixed.groupBy("bucket", "own").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "lo", "hi"))))
@@ -218,7 +218,7 @@ def _counted(entries: DataFrame, length: int) -> DataFrame:
                     x = mix(x, h[off : off + count])
                 yield pa.RecordBatch.from_arrays([pa.array([b] * count, pa.int64()), pa.array([o] * count, pa.int64()), pa.array(x.view(np.int64)), pa.array(np.arange(count, dtype=np.int32)), pa.array([n] * count, pa.int64())], names=["bucket", "own", "x", "at", "n"])
 
-    each = entries.mapInArrow(strings, "bucket long, own long, x long, at int, n long")
+    each = map_arrow(entries, strings, "bucket long, own long, x long, at int, n long")
     again = each.groupBy("bucket", "x").agg(F.sum("n").alias("times")).filter("times > 1").select("bucket", "x")
     at = each.join(again, ["bucket", "x"]).groupBy("bucket", "own").agg(F.array_sort(F.collect_list("at")).alias("at"))
     return at.select("bucket", "own", F.flatten(F.transform("at", lambda a: F.array(a, a))).alias("runs"))
@@ -250,7 +250,7 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["d2", "t2", "spans"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    spans = cut(marks.mapInArrow(run, f"d2 {kind}, t2 long, spans array<struct<begin:int,end:int>>"))
+    spans = cut(map_arrow(marks, run, f"d2 {kind}, t2 long, spans array<struct<begin:int,end:int>>"))
     none = F.array().cast(spans.schema["spans"].dataType)
     hit, rest = split_by_keys(docs, spans.select(F.col("t2").alias("th")).distinct(), "th")
     joined = hit.join(spans, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc", "data", F.coalesce("spans", none).alias("spans"))
