@@ -197,14 +197,14 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity
     hashed = rows.select("doc", "th", word_hashes(F.col("text")).alias("h"))
     every = cut_table(_signed(hashed, shingle))
     signed = every.filter("sig IS NOT NULL")
-    reps = signed.groupBy("sig").agg(F.first("doc").alias("doc"), F.first("th").alias("th"))
-    keys = signed.select("sig", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("low")).filter("n > 1").select("key", "low")
-    edges = keys.join(shared, "key").filter("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b"))
+    reps = cut(signed.groupBy("sig").agg(F.first("doc").alias("doc"), F.first("th").alias("th"), F.count("*").alias("n")))
+    keys = cut_table(signed.select("sig", F.explode("bands").alias("key")).distinct())
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("low")).filter("n > 1"))
+    edges = join_keys(keys, shared, "key").filter("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b"))
     groups = components(edges).withColumnsRenamed({"node": "sig", "comp": "grp"})
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     members = cut(groups.join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")))
-    of = cut(members.select("sig").join(reps, "sig").withColumnsRenamed({"doc": "d2", "th": "t2"}))
+    of = cut(members.select("sig").join(reps.drop("n"), "sig").withColumnsRenamed({"doc": "d2", "th": "t2"}))
     some = keep_keys(hashed.select("doc", "th", "h"), of.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
     strips = _strips(some.join(of, same_document("d2", "t2")).select("sig", "h"), shingle)
     bundles = members.count() // block + 1
@@ -212,8 +212,8 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity
     task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(bundles))).otherwise(F.xxhash64("grp", "i", "j"))
     links = each.select(task.alias("task"), "grp", "i", "j", "blk", "sig", "strips").groupBy("task").applyInPandas(lambda pdf: compared(pdf, similarity), "a long, b long")
     found = components(links)
-    labelled = signed.select("doc", "th", "sig").join(found, F.col("sig") == F.col("node"), "left").select("doc", "th", F.coalesce("comp", "sig").alias("comp"))
-    labelled = cut(labelled)
+    named = cut(reps.select("sig", "n").join(found, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("comp", "sig").alias("comp")))
+    labelled = cut(join_keys(signed.select("doc", "th", "sig"), named, "sig").select("doc", "th", "comp"))
     best = cut(labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("best"), F.count("*").alias("n")))
     out = join_keys(labelled, best, "comp").select("doc", "th", F.col("best.doc").alias("class_id"), (F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("th") == F.col("best.th"))).alias("kept"))
     return out.unionByName(every.filter("sig IS NULL").select("doc", "th", F.col("doc").alias("class_id"), F.lit(True).alias("kept")))
