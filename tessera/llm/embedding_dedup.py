@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut
+from tessera.llm.common import components, cut, join_keys
 
 #: Vectors that the rotation is learned from, at most in expectation.
 SAMPLE = 20_000
@@ -100,6 +100,8 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(valid(vector), _double(vector)).alias("v"))
     rows = cut(rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
     kinds = rows.filter("v IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
+    # by the largest component first, so that no square overflows or vanishes
+    kinds = kinds.withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("most")))
     kinds = kinds.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
     kinds = cut(kinds.withColumn("v", F.transform("v", lambda x: x / F.col("norm"))))
     n = kinds.count()
@@ -117,9 +119,10 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     linked = cut(pairs.filter(cosine >= similarity).select("a", "b", "na", "nb"))
     degree = linked.select("a", "nb").unionAll(linked.select("b", "na")).toDF("node", "d").groupBy("node").agg(F.sum("d").alias("d"))
     comps = components(linked)
-    label = kinds.select("node", "copies", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = label.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = label.join(lowest, "comp").join(degree, "node", "left").select("node", (F.coalesce("d", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n"), "component_id")
-    done = rows.select("vec_id", "node").join(of, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return done.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    label = cut(kinds.select("node", "copies", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    lowest = cut(label.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    of = join_keys(label, lowest, "comp").join(degree, "node", "left")
+    of = cut(of.select("node", "copies", (F.coalesce("d", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id"))
+    done = join_keys(rows.filter("node IS NOT NULL").select("vec_id", "node"), of, "node", "copies").select("vec_id", "n_links", "component_id")
+    alone = rows.filter("node IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return done.unionByName(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

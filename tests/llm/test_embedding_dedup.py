@@ -52,6 +52,8 @@ def test_edges(spark):
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embedding_dedup.link(df).collect())
     alone = [(str(k), 0, k, True) for k in (1, 2, 3, 4, 5, 9, 10)]
     assert got == sorted([*alone, ("6", 3, 6, True), ("6", 3, 6, True), ("None", 3, 6, False), ("8", 3, 6, False)])
+    far = spark.createDataFrame([(1, [1e-200, 0.0]), (2, [1e200, 1e198]), (3, [0.0, 1e-300])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.link(far).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
     assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embedding_dedup.link(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().kept
 
