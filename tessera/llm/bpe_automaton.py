@@ -33,7 +33,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0                
 SPACES = re.compile(f"[{SPACE}]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Most entries of a generation of each cache of a worker.
-CACHED = 100_000
+CACHED = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -116,7 +116,7 @@ class Automaton:
 class Recent(dict):
     """What was made lately: two generations of ``most`` entries; the older one is forgotten when the newer is full."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int = CACHED):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
@@ -134,7 +134,7 @@ class Recent(dict):
 class Codec:
     """Encodes and decodes as the tokenizer of a file does, without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         spec = json.loads(open(path, encoding="utf-8").read())  # a driver- and worker-local vocabulary file
         vocab, self.suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -155,8 +155,8 @@ class Codec:
         self.inner = {t: i for t, i in labels.items() if not t.endswith(self.suffix)}
         self.prefix = {t[:k] for t in [*self.final, *self.inner] for k in range(1, len(t) + 1)}
         self.spaced = [f" {t}" for t in self.label]
-        self.word = Recent(lambda w: array("I", self._path(w)).tobytes())
-        self.chunk = Recent(self._chunk)
+        self.word = Recent(lambda w: array("I", self._path(w)).tobytes(), cached)
+        self.chunk = Recent(self._chunk, cached)
 
     def _path(self, word: str) -> list[int]:
         """The automaton's accepted path for one word."""
@@ -216,11 +216,11 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, cached: int = CACHED) -> Codec:
+    return Codec(path, cached)
 
 
-def encode_decode(df: DataFrame, text: str, keep: list[str], tokenizer: str, emit: Callable[[bytes, str, int], tuple], schema: str) -> DataFrame:
+def encode_decode(df: DataFrame, text: str, keep: list[str], tokenizer: str, emit: Callable[[bytes, str, int], tuple], schema: str, cached: int = CACHED) -> DataFrame:
     """Encodes and decodes every text; ``emit(ids, decoded, n)`` makes the columns of ``schema`` beside those kept.
 
     A null text counts as empty and gives no tokens. Rows that are repeated are each encoded. ``keep`` columns pass
@@ -231,7 +231,7 @@ def encode_decode(df: DataFrame, text: str, keep: list[str], tokenizer: str, emi
     source = df.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer)
+        c = codec(tokenizer, cached)
         for batch in batches:
             if batch.num_rows:
                 rows = [emit(*c.encode(t.as_py())) for t in batch.column(batch.num_columns - 1)]
