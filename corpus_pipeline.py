@@ -55,7 +55,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) of every document, and the digest of what they decode to."""
     return bpe_automaton.encode_decode(
         docs, "text", ["doc_id", "lang", "source"], public_tokenizers.path("word_bpe_49k.json"),
-        lambda ids, decoded, n: (n, ids, bpe_automaton.digests(ids, decoded, n)[2]), "n_tokens bigint, token_ids binary, decoded_sha256 string", cached=100_000,  # its workers share memory with other stages'
+        lambda ids, decoded, n: (n, ids, bpe_automaton.digests(ids, decoded, n)[2]), "n_tokens bigint, token_ids binary, decoded_sha256 string", cached=100_000,  # its workers share memory with other stages
     )
 
 
