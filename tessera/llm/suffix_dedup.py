@@ -84,10 +84,9 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     bucket = low[first]
     back = length - gram
     with np.errstate(over="ignore"):
-        own = mix(mix(h[first], h[first + back]), mix(h[last], h[last + back])) + (last - first).astype(np.uint64) * K1
-        if length > 2 * gram:  # what lies between the outer grams
-            for off in range(gram, back, gram):
-                own = mix(own, h[first + off])
+        own = mix(h[first], h[last + back]) + (last - first).astype(np.uint64) * K1
+        for off in range(gram, 2 * back + 1, gram):  # all bytes between: as many steps for each segment, as no last start is over ``back`` behind the first
+            own = mix(own, h[np.minimum(first + off, last + back)])
     again = np.zeros(len(first), bool)
     inner = np.sort(h)
     twice = inner[1:][inner[1:] == inner[:-1]]

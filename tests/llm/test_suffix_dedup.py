@@ -42,6 +42,15 @@ def test_other_lengths(spark, seed):
     assert result(suffix_dedup.digest(suffix_dedup.remove(df, length=40, gram=16))) == wanted(rows, 40)
 
 
+@pytest.mark.parametrize(("length", "gram", "size", "step"), [(40, 16, 300, 1), (400, 128, 1500, 9)])
+def test_texts_that_differ_in_one_byte(spark, length, gram, size, step):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(size))
+    rows = [(k, base[:k] + "X" + base[k + 1 :]) for k in range(0, size, step)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(suffix_dedup.digest(suffix_dedup.remove(df, length=length, gram=gram))) == wanted(rows, length)
+
+
 def test_refinement_is_a_count_of_strings():
     rng = np.random.default_rng(0)
     parts = [bytes(rng.integers(97, 99, rng.integers(0, 90), dtype=np.uint8)) for _ in range(60)]
