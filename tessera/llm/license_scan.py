@@ -69,10 +69,13 @@ def _places(spark: SparkSession, templates: list[Template], k: int) -> DataFrame
 
 
 def diagonals(hashed: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """(doc, th, t, diagonal, votes) of documents (doc, th, h): votes for each diagonal, summed before and after the shuffle."""
+    """(doc, th, t, diagonal, votes) of documents (doc, th, h): the different places that vote for each diagonal, gathered before and after the shuffle.
+
+    A repeated row's places count once; a diagonal has at most as many as its template has words.
+    """
     grams = hashed.select("doc", "th", F.size("h").alias("n"), F.posexplode(rolling("h", k)).alias("p", "gram")).filter(F.col("p") + k <= F.col("n"))
-    hits = grams.join(sized(places), "gram").select("doc", "th", "t", (F.col("p") - F.col("at")).alias("diagonal"))
-    return hits.groupBy("doc", "th", "t", "diagonal").agg(F.count("*").alias("votes"))
+    hits = grams.join(sized(places), "gram").select("doc", "th", "t", "at", (F.col("p") - F.col("at")).alias("diagonal"))
+    return hits.groupBy("doc", "th", "t", "diagonal").agg(F.size(F.collect_set("at")).cast("long").alias("votes"))
 
 
 def scan(docs: DataFrame, templates: list[Template] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,6 +40,17 @@ def test_edges(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_rows_with_phrases(spark):
+    text = f"The MIT License, GNU General Public License. {NOTICE} 2 clause BSD"
+    want = license_scan.scan(spark.createDataFrame([(3, text)], "doc_id long, text string")).first()
+    assert (want.n_base, want.base_labels, want.labels) == (2, "gpl,mit", "bsd,gpl,mit")
+    for copies in (2, 3):
+        rows = [(3, text)] * copies + [(None, "general public x")] * copies
+        got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [r for r in got if r.doc_id == 3] == [want] * copies
+        assert [r.n_base for r in got if r.doc_id is None] == [0] * copies
+
+
 def test_native(spark, small):
     plan = op1_license_scan(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
