@@ -22,12 +22,16 @@ from tessera.llm.common import map_arrow
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+SCRIPT_PART = re.compile(r"<!--(?P<empty>-?>)?|(?P<shut>-->)|<(?P<close>/?)script(?=[\s/>])", re.I)
 HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 # Kinds of elements, and words of classes, ids and roles.
 #: Whose content is never text of the page.
 DROPPED = set("script style title noscript template iframe svg math canvas object audio video textarea select datalist".split())
+#: Of these, those whose content is no markup: only their own closing tag ends them.
+RAW = set("script style title noscript iframe textarea".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 #: Within a block.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: That can't hold others.
@@ -78,6 +82,29 @@ def _hints(tag: str, raw: str) -> tuple[bool, bool]:
     return boiler, article
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where the closing tag of a raw element begins whose content begins at ``at``; -1 if it has none.
+
+    As browsers do, a script inside a comment inside a script has a closing tag of its own.
+    """
+    if tag != "script":
+        found = RAW_END[tag].search(page, at)
+        return found.start() if found else -1
+    comment = inner = False
+    for m in SCRIPT_PART.finditer(page, at):
+        if m["empty"] or m["shut"]:
+            comment = inner = False
+        elif m["close"] is None:
+            comment = True
+        elif not m["close"]:
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            return m.start()
+    return -1
+
+
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page, character references decoded and white space made single spaces."""
     out: list[Block] = []
@@ -94,8 +121,20 @@ def blocks(page: str | None) -> list[Block]:
             out.append(Block(text, n := len(text.split()), min(linked, n), int(boiler), int(any(x.article for x in stack)), heading))
         parts = []
 
-    for m in TOKEN.finditer(page or ""):
-        token = m.group()
+    page, at, unclosed = page or "", 0, set()
+
+    def content(tag: str, at: int) -> int:
+        """Where to go on after the opening tag of a dropped element: at a raw one's closing tag, if it has one."""
+        if tag not in RAW or tag in unclosed:
+            return at
+        if (close := _raw_end(page, tag, at)) < 0:
+            unclosed.add(tag)
+            return at
+        return close
+
+    while at < len(page):
+        token = TOKEN.match(page, at).group()
+        at += len(token)
         if token[0] != "<" or token == "<":
             if not skip:
                 parts.append((html.unescape(token), links > 0))
@@ -107,10 +146,12 @@ def blocks(page: str | None) -> list[Block]:
         if skip:
             if closing and tag == skip:
                 skip = ""
+            elif not closing and not token.endswith("/>") and skip not in ("svg", "math", *RAW):  # those two are no HTML inside
+                at = content(tag, at)
             continue
         if tag in DROPPED:
             if not closing and not token.endswith("/>"):
-                skip = tag
+                skip, at = tag, content(tag, at)
             continue
         if tag == "a":
             links = 0 if closing else 1

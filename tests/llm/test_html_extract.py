@@ -44,6 +44,26 @@ def test_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT type='a'>if(i<n) x = \"<!--\"</Script >",
+        "<script><!--\nif(a<b){}\n//--></script>",
+        "<script><!-- w('<script src=x></script>'); --></script>",
+        "<script><!--></script>",
+        "<script>'</scripts>' + '<p>no</p>'; i<n</script\n>",
+        "<style>a<b{} <!-- </style>",
+        "<title>a<b and <!-- c</title>",
+        "<noscript>a<b</noscript><iframe>a<b</iframe><textarea>a<b</textarea>",
+        "<template><script>i<n</script><p>no</p></template>",
+        "<svg><title>x</svg>",
+    ],
+)
+def test_dropped_content_is_no_markup(head):
+    assert html_extract.main_text(f"<body>{head}<article><p>{PROSE}</p></article><footer>x</footer></body>") == PROSE
+
+
 def test_labelled_pages_are_learned():
     for example in map(html_extract.Example, html_extract.LABELLED):
         assert [html_extract.tree().says(r) for r in example.rows] == example.labels
