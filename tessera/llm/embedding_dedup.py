@@ -4,6 +4,9 @@ A rotation is learned (on a bounded sample) that turns centred, projected vector
 quantisation error. Every vector's code is cut into blocks; two codes that differ in few bits agree, up to
 ``BLOCK_RADIUS`` bits, in some block, so tables of blocks retrieve all pairs within the radius of one another. Pairs are
 reranked by the cosine of the original vectors in double precision.
+
+How many of the pairs at the threshold the tables retrieve is measured on the sample. Where it's too few, as with vectors
+that have a large common mean, all vectors are compared with one another, tile by tile.
 """
 
 from __future__ import annotations
@@ -15,13 +18,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, join_keys
+from tessera.llm.common import components, cut, join_keys, sized
 
 #: Vectors that the rotation is learned from, at most in expectation.
 SAMPLE = 20_000
 #: Bits of a code, blocks it is cut into, bits that a block may differ by, and bits that a code may differ by to be reranked.
 BITS, BLOCKS, BLOCK_RADIUS, RADIUS = 64, 4, 1, 18
 SIMILARITY = 0.95
+#: Share of the pairs at the threshold that the tables have to retrieve, and sampled vectors that it is measured on.
+LEAST_RECALL, MEASURED = 0.95, 2000
+#: Vectors of a tile, in expectation, and those of them that are compared at a time.
+TILE, STRIPE = 4096, 512
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +96,59 @@ def candidates(coded: DataFrame, bits: int = BITS, blocks: int = BLOCKS, block_r
     return left.join(right, ["t", "key"]).filter(near).select("a", "b")
 
 
+def measured_recall(x: np.ndarray, centre: np.ndarray, projection: np.ndarray, similarity: float = SIMILARITY, seed: int = 7) -> float:
+    """The share of near pairs that the tables retrieve, of unit vectors x: the least of three.
+
+    Pairs of the sample; and sampled vectors with what they become if turned, until the cosine is ``similarity``, the way
+    two others differ or any way.
+    """
+    rng = np.random.default_rng(seed)
+    x = x[rng.permutation(len(x))[:MEASURED]]
+    a, b = np.nonzero(np.triu(x @ x.T >= similarity, 1))
+    some = rng.permutation(len(a))[:MEASURED]
+    pairs = [(x[a[some]], x[b[some]])]
+    for way in (x[rng.permutation(len(x))] - x[rng.permutation(len(x))], rng.normal(size=x.shape)):
+        way = way - (way * x).sum(axis=1, keepdims=True) * x
+        far = np.linalg.norm(way, axis=1)
+        at = far > 1e-6
+        pairs.append((x[at], similarity * x[at] + np.sqrt(1 - similarity**2) * way[at] / far[at, None]))
+    shares = []
+    for a, b in pairs:
+        if len(a):
+            differ = (((a - centre) @ projection >= 0) != ((b - centre) @ projection >= 0)).reshape(len(a), BLOCKS, -1).sum(axis=2)
+            shares.append(((differ.min(axis=1) <= BLOCK_RADIUS) & (differ.sum(axis=1) <= RADIUS)).mean())
+    return float(min(shares, default=0.0))
+
+
+def tiled(unit: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b, once each: all pairs of unit vectors (node, v) of equal length whose cosine is, or but for rounding would be, ``similarity``.
+
+    Every two tiles of a length's vectors meet in a task of bounded size: exact, but quadratic in the vectors of a length.
+    """
+    of = unit.select("node", F.size("v").alias("d"), F.transform("v", lambda x: x.cast("float")).alias("v"))
+    tiles = of.groupBy("d").agg(F.floor(F.count("*") / TILE + 1).alias("m"))
+    of = of.join(sized(tiles), "d").withColumn("own", F.pmod("node", "m"))
+    each = of.select("d", "own", "node", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
+    each = each.select("d", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "node", "v")
+    stripe = STRIPE
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        left, right = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
+        found = [(np.empty(0, np.int64),) * 2]
+        if len(left) and len(right):
+            x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+            least = similarity - (x.shape[1] + 4) * 2.0**-23  # single precision errs by less
+            for at in range(0, len(x), stripe):
+                p, q = np.nonzero(x[at : at + stripe] @ y.T >= least)
+                a, b = left["node"].to_numpy()[p + at], right["node"].to_numpy()[q]
+                once = a < b if same else np.ones(len(a), bool)
+                found.append((np.minimum(a, b)[once], np.maximum(a, b)[once]))
+        return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+
+    return each.groupBy("d", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def link(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -111,10 +171,11 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     if not some:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     length = int(np.bincount([len(v) for v in some]).argmax())
-    centre, projection = learn_rotation(np.array([v for v in some if len(v) == length]))
-    coded = cut(codes(kinds.filter(F.size("v") == length).select("node", "v"), centre, projection))
+    learned = np.array([v for v in some if len(v) == length])
+    centre, projection = learn_rotation(learned)
+    unit = kinds.filter(F.size("v") == length).select("node", "v")
+    pairs = candidates(cut(codes(unit, centre, projection))) if measured_recall(learned, centre, projection, similarity) >= LEAST_RECALL else tiled(unit, similarity)
     cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = candidates(coded)
     pairs = pairs.join(kinds.select(F.col("node").alias("a"), F.col("v").alias("va"), F.col("copies").alias("na")), "a").join(kinds.select(F.col("node").alias("b"), F.col("v").alias("vb"), F.col("copies").alias("nb")), "b")
     linked = cut(pairs.filter(cosine >= similarity).select("a", "b", "na", "nb"))
     degree = linked.select("a", "nb").unionAll(linked.select("b", "na")).toDF("node", "d").groupBy("node").agg(F.sum("d").alias("d"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.llm import embedding_dedup
 from tessera.llm.queries import op5_embedding_dedup
@@ -40,6 +41,23 @@ def test_recall_against_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("mean", [1.0, 3.0])
+def test_recall_with_a_common_mean(spark, monkeypatch, mean):
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(150):
+        x = rng.normal(size=64) + mean
+        step = rng.normal(size=64)
+        step -= (step @ x) / (x @ x) * x
+        vectors += [x, 0.96 * x + 0.28 * np.linalg.norm(x) / np.linalg.norm(step) * step]  # of cosine 0.96
+    vectors = [(k, list(map(float, v))) for k, v in enumerate(vectors)]
+    want = brute(vectors)
+    monkeypatch.setattr(embedding_dedup, "TILE", 70, raising=False)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[k][0] <= want[k][0] for k in want)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+
+
 def test_whole_table(spark, small):
     vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     want = brute(vectors)
