@@ -110,17 +110,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE, longest: int = LONGEST, texts: int = TRAINING_TEXTS) -> Profiles:
     """Profiles of the languages of labelled documents.
 
-    Each language's texts are sampled by a hash to ``texts`` in expectation (all, if it has fewer); rows with a null
-    label or text teach nothing. To the driver come only ``size`` n-grams of each language.
+    Each language's different texts are sampled by a hash to ``texts`` in expectation (all, if it has fewer), and count
+    once however many rows have them; rows with a null label or text teach nothing. To the driver come only ``size`` n-grams of each language.
     """
     rows = docs.select(F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang")).filter("__lang IS NOT NULL AND __text IS NOT NULL")
-    have = {r[0]: r[1] for r in rows.groupBy("__lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    have = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.count_distinct(F.xxhash64("__text"))).limit(MOST_LANGUAGES + 1).collect()}
     if len(have) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels: not a column of languages")
     if not have:
         return Profiles.of({}, size, longest)
     share = F.create_map(*(F.lit(x) for name, n in have.items() for x in (name, texts / n)))[F.col("__lang")]
-    chosen = rows.filter(F.pmod(F.xxhash64("__text"), F.lit(1_000_003)) < share * 1_000_003).select("__lang", "__text")
+    chosen = rows.filter(F.pmod(F.xxhash64("__text"), F.lit(1_000_003)) < share * 1_000_003).select("__lang", "__text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

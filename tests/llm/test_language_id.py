@@ -39,6 +39,13 @@ def test_distance_is_out_of_place(spark, small):
         assert score >= max(brute_distance(r.text, profiles, x) for x in profiles.languages) - 1e-9
 
 
+def test_languages_of_copies_are_learned(spark):
+    langs = [f"l{k:02}" for k in range(20)]
+    rows = [(n, f"{chr(97 + k)}{chr(98 + k)} {chr(99 + k)}", lang) for k, lang in enumerate(langs) for n in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.learn(df, texts=5).languages == langs
+
+
 def test_edges(spark):
     rows = [(1, None, "xx"), (2, "", "xx"), (3, "123 !?", "xx"), (None, "aa bb aa", "xx"), (5, "cc dd cc", "yy"), (5, "cc dd cc", "yy"), (6, "Ab " * 50000, None), (7, "q", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "'z' AS lang_pred")
