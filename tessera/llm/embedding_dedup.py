@@ -11,6 +11,7 @@ that have a large common mean, all vectors are compared with one another, tile b
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -40,7 +41,7 @@ def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int
     d = x.shape[1]
     rng = np.random.default_rng(seed)
     centre = x.mean(axis=0)
-    values, vectors = np.linalg.eigh(np.cov((x - centre).T) if len(x) > 1 else np.eye(d))
+    values, vectors = np.linalg.eigh(np.atleast_2d(np.cov((x - centre).T)) if len(x) > 1 else np.eye(d))
     basis = vectors[:, np.argsort(-values)][:, :bits]
     if bits > basis.shape[1]:
         basis = np.concatenate((basis, rng.normal(size=(d, bits - basis.shape[1])) / np.sqrt(d)), axis=1)
@@ -152,8 +153,9 @@ def tiled(unit: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def link(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Null or zero vectors, and those with null or non-finite components, link with nothing; so do vectors of another
-    length than most sampled ones have. Equal vectors are linked by their count, not by pairs, and searched for once.
+    Null or zero vectors, and those with null or non-finite components, link with nothing; others with those of their
+    length. A length of over ``TILE`` different vectors, and the most frequent one, has a rotation and tables of its own;
+    the vectors of rarer ones are all compared. Equal vectors are linked by their count, not by pairs, and searched for once.
     Two rows with one id are two vectors; a null id is no component's smallest id unless it is alone (component_id null,
     kept true). An empty table gives an empty result.
     """
@@ -164,17 +166,25 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     kinds = kinds.withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("most")))
     kinds = kinds.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
     kinds = cut(kinds.withColumn("v", F.transform("v", lambda x: x / F.col("norm"))))
-    n = kinds.count()
-    some = [r[0] for r in kinds.filter(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1_000_003)) < 1_000_003 * sample / max(n, 1)).select("v").collect()]
-    if not some:
-        some = [r[0] for r in kinds.select("v").limit(100).collect()]
-    if not some:
+    lengths = {r[0]: r[1] for r in kinds.groupBy(F.size("v")).count().collect()}
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    length = int(np.bincount([len(v) for v in some]).argmax())
-    learned = np.array([v for v in some if len(v) == length])
-    centre, projection = learn_rotation(learned)
-    unit = kinds.filter(F.size("v") == length).select("node", "v")
-    pairs = candidates(cut(codes(unit, centre, projection))) if measured_recall(learned, centre, projection, similarity) >= LEAST_RECALL else tiled(unit, similarity)
+    retrieved, indexed = [], []
+    for length, n in sorted(lengths.items()):
+        if n <= TILE and n < max(lengths.values()):
+            continue  # few beside others: one tile
+        unit = kinds.filter(F.size("v") == length).select("node", "v")
+        some = [r[0] for r in unit.filter(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1_000_003)) < 1_000_003 * sample / n).select("v").collect()]
+        if not some:
+            some = [r[0] for r in unit.select("v").limit(100).collect()]
+        learned = np.array(some)
+        centre, projection = learn_rotation(learned)
+        if measured_recall(learned, centre, projection, similarity) >= LEAST_RECALL:
+            retrieved.append(candidates(cut(codes(unit, centre, projection))))
+            indexed.append(length)
+    if len(indexed) < len(lengths):
+        retrieved.append(tiled(kinds.filter(~F.size("v").isin(indexed)).select("node", "v"), similarity))
+    pairs = reduce(DataFrame.unionByName, retrieved)
     cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = pairs.join(kinds.select(F.col("node").alias("a"), F.col("v").alias("va"), F.col("copies").alias("na")), "a").join(kinds.select(F.col("node").alias("b"), F.col("v").alias("vb"), F.col("copies").alias("nb")), "b")
     linked = cut(pairs.filter(cosine >= similarity).select("a", "b", "na", "nb"))

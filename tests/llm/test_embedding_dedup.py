@@ -64,6 +64,19 @@ def test_whole_table(spark, small):
     assert {r.vec_id: (r.n_links, r.component_id) for r in op5_embedding_dedup(spark, small).collect()} == want
 
 
+def test_each_length_is_searched(spark):
+    parts = [clusters(4, n=12, d=64), clusters(5, n=4, d=48), clusters(6, n=2, d=32)]
+    vectors, want = [], {}
+    for k, part in enumerate(parts):
+        part = [(1000 * k + n, v) for n, v in part]
+        vectors += part
+        want |= brute(part)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    assert set(got) == set(want) and sum(n for k, (n, _) in want.items() if k >= 1000) > 20
+    assert {k: x for k, x in got.items() if k >= 1000} == {k: x for k, x in want.items() if k >= 1000}
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+
+
 def test_edges(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 1.0]), (8, [2.0, 2.0]), (9, [1.0, -1.0]), (10, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS node", "'x' AS v")
