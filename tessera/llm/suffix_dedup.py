@@ -4,21 +4,26 @@ Two equal strings of ``length`` bytes contain the same rarest ``GRAM``-byte gram
 suffixes fall into initial buckets by that gram:
 
 1. Each text is cut into segments: the runs of string starts that share their rarest gram. A segment is a bucket's
-   entry; it carries a fingerprint of its bytes and its place.
+   entry; it carries a 128-bit BLAKE2b digest of all its bytes, by which entries count as equal, and its place.
 2. Spark counts entries of each bucket and entries with equal bytes. A bucket with one entry holds nothing repeated; in
    a bucket whose entries are all equal, everything is repeated. Only buckets of differing entries need sorting, and of
    each set of equal entries one is enough.
 3. The bytes of those are brought together by bucket and their suffixes refined: start from 8-byte grams, then split
    each bucket by the bucket pointers of the suffixes 8, 16, 32 ... bytes later, which the pass before has refined, until
-   ``length`` bytes are compared. Suffixes alone in their bucket drop out. A bucket of over ``MOST_ENTRIES`` different
-   entries is not brought together; its strings are counted one by one by fingerprint, with partial sums.
-4. Repeated starts go back to the entries' places, and each text loses the bytes that they cover.
+   ``length`` bytes are compared. Suffixes alone in their bucket drop out.
+4. A bucket of over ``MOST_ENTRIES`` different entries is first refined across tasks, by the same rule: equal strings have
+   the bucket's gram at one offset, so its suffixes are split by ranges of that offset and by the identifier of the bytes
+   that all strings of a range share before and after the gram. Parts that are small enough then go to step 3; larger ones
+   are split again by narrower ranges, of one offset and hence of equal strings at last. No part is sorted by one task
+   unless it is small, and none is treated otherwise for its size.
+5. Repeated starts go back to the entries' places, and each text loses the bytes that they cover.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, cut_table, join_keys, keep_keys, map_arrow, split_by_keys
+from tessera.llm.common import cut, cut_table, join_keys, keep_keys, map_arrow, sized, split_by_keys
 
 LENGTH, GRAM = 400, 128
-#: Different entries of a bucket that are sorted in one task, and entries brought together in one.
-MOST_ENTRIES, TOGETHER = 4_000, 2_000
+#: Different entries of a bucket that are sorted in one task, entries brought together in one, and ranges of offsets that a range is split into.
+MOST_ENTRIES, TOGETHER, SPLIT = 4_000, 2_000, 8
+#: What tells entries of different bytes apart.
+KIND = ["bucket", "own", "own2"]
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -67,11 +74,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size :][:n])
 
 
+def digest16(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(bucket, fingerprint of the bytes, first start, last start, whether strings of the segment may equal each other)."""
+    """(bucket, the two halves of the bytes' digest, first start, last start, whether strings of the segment may equal each other)."""
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none.astype(bool)
+        return none, none, none, none, none, none.astype(bool)
     h = gram_hashes(data, gram)
     width = length - gram + 1
     low = sliding_min(h, width)  # of the string from each start on
@@ -82,18 +93,14 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         first = np.concatenate(pieces)
         last = np.concatenate((first[1:], [len(low)])) - 1
     bucket = low[first]
-    back = length - gram
-    with np.errstate(over="ignore"):
-        own = mix(h[first], h[last + back]) + (last - first).astype(np.uint64) * K1
-        for off in range(gram, 2 * back + 1, gram):  # all bytes between: as many steps for each segment, as no last start is over ``back`` behind the first
-            own = mix(own, h[np.minimum(first + off, last + back)])
+    own = np.frombuffer(b"".join([digest16(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.int64).reshape(-1, 2)
     again = np.zeros(len(first), bool)
     inner = np.sort(h)
     twice = inner[1:][inner[1:] == inner[:-1]]
     if len(twice):
         for k in np.flatnonzero(np.isin(bucket, twice)):
             again[k] = np.count_nonzero(h[first[k] : last[k] + width] == bucket[k]) > 1
-    return bucket.view(np.int64), own.view(np.int64), first, last, again
+    return bucket.view(np.int64), own[:, 0], own[:, 1], first, last, again
 
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -157,74 +164,135 @@ def _entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
             got = [segments(t.as_py() or b"", length, gram) for t in batch.column(2)]
             n = [len(g[0]) for g in got]
             at = pa.array(np.repeat(np.arange(len(n)), n))
-            cols = [np.concatenate([g[k] for g in got]) for k in range(5)]
+            cols = [np.concatenate([g[k] for g in got]) for k in range(6)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c) for c in cols[:2]), *(pa.array(c.astype(np.int32)) for c in cols[2:4]), pa.array(cols[4])],
-                names=["doc", "th", "bucket", "own", "lo", "hi", "again"],
+                [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c) for c in cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:5]), pa.array(cols[5])],
+                names=["doc", "th", *KIND, "lo", "hi", "again"],
             )
 
-    return map_arrow(docs, run, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, bucket long, own long, lo int, hi int, again boolean")
+    return map_arrow(docs, run, f"doc {docs.schema['doc'].dataType.simpleString()}, th long, bucket long, own long, own2 long, lo int, hi int, again boolean")
 
 
 def _bytes_of(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """(bucket, own, n, bytes) of entries given by (doc, th, lo, hi)."""
-    wanted = places.groupBy("doc", "th").agg(F.collect_list(F.struct("bucket", "own", "n", "lo", "hi")).alias("w"))
+    """(bucket, own, own2, n, bytes) of entries given by (doc, th, lo, hi)."""
+    wanted = places.groupBy("doc", "th").agg(F.collect_list(F.struct(*KIND, "n", "lo", "hi")).alias("w"))
     some = keep_keys(docs, places.select("th").distinct(), "th").dropDuplicates(["doc", "th"])
     both = some.join(wanted.withColumnsRenamed({"doc": "d2", "th": "t2"}), F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
     each = both.select("data", F.explode("w").alias("w"))
-    return each.select("w.bucket", "w.own", "w.n", F.expr(f"substring(data, w.lo + 1, w.hi - w.lo + {length})").alias("data"))
+    return each.select(*(f"w.{c}" for c in KIND), "w.n", F.expr(f"substring(data, w.lo + 1, w.hi - w.lo + {length})").alias("data"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_ENTRIES) -> DataFrame:
-    """(doc, th, lo, hi): runs of starts, in documents (doc, th, data), of strings that also start somewhere else."""
-    entries = cut_table(_entries(docs, length, gram))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("own").alias("least"), F.max("own").alias("last"), F.max("again").alias("any"))
-    several = cut(full.filter("n > 1 OR any").select("bucket", "n", F.expr("least <> last OR any").alias("mixed")))
-    hits = cut_table(join_keys(entries, several, "bucket").select("doc", "th", "bucket", "own", "lo", "hi", "mixed"))
-    mixed = hits.filter("mixed")
-    # entries with equal bytes: any of them will do
-    kinds = cut(mixed.groupBy("bucket", "own").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "lo", "hi"))))
-    tasks = kinds.count() // TOGETHER + 1
-    large = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("bucket")
-    any_large = not large.isEmpty()
+def sorted_runs(entries: DataFrame, keys: list[str], by: str, tasks: int, length: int) -> DataFrame:
+    """keys, n and runs (first and last starts in turn) of entries (keys, n, data) with repeated starts; those alike in ``by`` meet in a task.
+
+    All strings of an entry with n > 1 are repeated.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
 
     def refine(pdf: pd.DataFrame) -> pd.DataFrame:
         found = repeated_starts(pdf["data"].tolist(), length)
         said = [[0, len(f) - 1] if n > 1 else runs(f) for f, n in zip(found, pdf["n"], strict=True)]
-        return pd.DataFrame({"bucket": pdf["bucket"], "own": pdf["own"], "runs": said})[[bool(x) for x in said]]
+        return pdf[[*keys, "n"]].assign(runs=said)[[bool(x) for x in said]]
 
-    few = _bytes_of(docs, kinds.join(large, "bucket", "left_anti") if any_large else kinds, length)
-    marks = few.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInPandas(refine, "bucket long, own long, runs array<int>")
-    if any_large:
-        marks = marks.unionByName(_counted(_bytes_of(docs, kinds.join(large, "bucket", "left_semi"), length), length))
-    hit = mixed.join(cut(marks), ["bucket", "own"])
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda k: F.struct((F.col("lo") + F.col("runs")[k * 2]).alias("a"), (F.col("lo") + F.col("runs")[k * 2 + 1]).alias("b")))
-    part = hit.select("doc", "th", F.explode(pairs).alias("p")).select("doc", "th", F.col("p.a").alias("lo"), F.col("p.b").alias("hi"))
-    return hits.filter("NOT mixed").select("doc", "th", "lo", "hi").unionByName(part)
+    dealt = entries.withColumn("task", F.pmod(F.xxhash64(by), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(refine, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "n")) + ", runs array<int>")
+
+
+def pieces(data: bytes, bucket: int, length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(place of the bucket's gram, first start, last start) of runs of starts whose strings have their first such gram there."""
+    places = np.flatnonzero(gram_hashes(data, gram).view(np.int64) == bucket)
+    out, begin = [], 0
+    for p in places.tolist():
+        end = min(p, len(data) - length)
+        if end >= begin:
+            out.append((p, begin, end))
+            begin = end + 1
+    return out
 
 
-def _counted(entries: DataFrame, length: int) -> DataFrame:
-    """As the sorting does, for buckets of any number of entries: each string by fingerprint, counted with partial sums."""
+def _ranges(entries: DataFrame, width: int, within: DataFrame | None, length: int, gram: int) -> DataFrame:
+    """(bucket, own, own2, n, part, body, lo, hi): starts of entries whose gram is ``width`` offsets' range away, by what their strings share.
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part is the identifier of the bytes around the gram that all strings of a range share, body that of all their bytes.
+    ``within`` has the parts of the ranges before that are still too large; None: all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, o, n, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                h = gram_hashes(t, 256 if length >= 256 else 8)
-                size = 256 if length >= 256 else 8
-                count = len(t) - length + 1
-                x = h[:count]
-                for off in [*range(size, length - size, size), length - size]:
-                    x = mix(x, h[off : off + count])
-                yield pa.RecordBatch.from_arrays([pa.array([b] * count, pa.int64()), pa.array([o] * count, pa.int64()), pa.array(x.view(np.int64)), pa.array(np.arange(count, dtype=np.int32)), pa.array([n] * count, pa.int64())], names=["bucket", "own", "x", "at", "n"])
+            out = []
+            for b, o, o2, n, t in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                for p, first, last in pieces(t, b, length, gram):
+                    for begin in range((p - last) // width * width, p - first + 1, width):
+                        lo, hi = max(first, p - begin - width + 1), min(last, p - begin)
+                        shared = t[p - begin : p - min(begin + width - 1, length - gram) + length]
+                        before = begin // (width * SPLIT) * width * SPLIT  # of the range before
+                        wide = t[p - before : p - min(before + width * SPLIT - 1, length - gram) + length]
+                        body = digest16(t[lo : hi + length] + (p - lo).to_bytes(4, "little"))
+                        out.append((b, o, o2, n, _part(b, width, begin, shared), _part(b, width * SPLIT, before, wide), body, lo, hi))
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 3 + [pa.int32()] * 2
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[*KIND, "n", "part", "wide", "body", "lo", "hi"])
+
+    each = map_arrow(entries, run, "bucket long, own long, own2 long, n long, part binary, wide binary, body binary, lo int, hi int")
+    if within is not None:
+        each = each.join(sized(within.withColumnRenamed("part", "wide")), "wide", "left_semi")
+    return each.drop("wide")
+
+
+def _part(bucket: int, width: int, begin: int, shared: bytes) -> bytes:
+    return digest16(f"{bucket} {width} {begin} ".encode() + shared)
+
+
+def split_refined(entries: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """(bucket, own, own2, n, runs) as sorted_runs(), for buckets of any number of entries: by ranges of the gram's offset, narrower and narrower."""
+    width = 1
+    while width * SPLIT < length - gram + 1:
+        width *= SPLIT
+    within, out = None, []
+    while width:
+        each = cut_table(_ranges(entries, width, within, length, gram))
+        kinds = cut_table(each.groupBy("part", "body").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in (*KIND, "lo", "hi"))))
+        of = cut(kinds.groupBy("part").agg(F.sum("n").alias("times"), F.sum("rows").alias("rows"), F.count("*").alias("kinds")).filter("times > 1"))
+        alike = join_keys(each, of.filter("kinds = 1").select("part", "rows"), "part", "rows")
+        out.append(alike.select(*KIND, "n", F.array("lo", "hi").alias("runs")))
+        small = of.filter((F.col("kinds") > 1) & (F.col("kinds") <= most))
+        tasks = (small.agg(F.sum("kinds")).first()[0] or 0) // TOGETHER + 1
+        few = kinds.join(small.select("part"), "part").join(entries.select(*KIND, "data"), KIND)
+        few = few.select("part", "body", "n", F.expr(f"substring(data, lo + 1, hi - lo + {length})").alias("data"))
+        marks = cut(sorted_runs(few, ["part", "body"], "part", tasks, length).drop("n").join(kinds.select("part", "body", "rows"), ["part", "body"]))
+        again = join_keys(each, marks, ["part", "body"], "rows")
+        out.append(again.select(*KIND, "n", F.transform("runs", lambda x: x + F.col("lo")).alias("runs")))
+        within = cut(of.filter(F.col("kinds") > most).select("part"))
+        if within.isEmpty():
+            break
+        width //= SPLIT
+    return reduce(DataFrame.unionByName, out)
 
-    each = map_arrow(entries, strings, "bucket long, own long, x long, at int, n long")
-    again = each.groupBy("bucket", "x").agg(F.sum("n").alias("times")).filter("times > 1").select("bucket", "x")
-    at = each.join(again, ["bucket", "x"]).groupBy("bucket", "own").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    return at.select("bucket", "own", F.flatten(F.transform("at", lambda a: F.array(a, a))).alias("runs"))
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_ENTRIES) -> DataFrame:
+    """(doc, th, lo, hi): runs of starts, in documents (doc, th, data), of strings that also start somewhere else."""
+    entries = cut_table(_entries(docs, length, gram))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("own", "own2") for name, f in (("least", F.min), ("last", F.max))]
+    full = entries.groupBy("bucket").agg(F.count("*").alias("n"), *ends, F.max("again").alias("any"))
+    several = cut(full.filter("n > 1 OR any").select("bucket", "n", F.expr("least_own <> last_own OR least_own2 <> last_own2 OR any").alias("mixed")))
+    hits = cut_table(join_keys(entries, several, "bucket").select("doc", "th", *KIND, "lo", "hi", "mixed"))
+    mixed = hits.filter("mixed")
+    # entries with equal bytes: any of them will do
+    kinds = cut(mixed.groupBy(*KIND).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "lo", "hi"))))
+    tasks = kinds.count() // TOGETHER + 1
+    large = cut(kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("bucket"))
+    some = large.isEmpty()
+    marks = sorted_runs(_bytes_of(docs, kinds if some else kinds.join(large, "bucket", "left_anti"), length), KIND, "bucket", tasks, length)
+    if not some:
+        marks = marks.unionByName(split_refined(cut_table(_bytes_of(docs, kinds.join(large, "bucket", "left_semi"), length)), length, gram, most))
+    hit = join_keys(mixed, cut(marks), KIND)
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2 - 1).cast("int")), lambda k: F.struct((F.col("lo") + F.col("runs")[k * 2]).alias("a"), (F.col("lo") + F.col("runs")[k * 2 + 1]).alias("b")))
+    part = hit.select("doc", "th", F.explode(pairs).alias("p")).select("doc", "th", F.col("p.a").alias("lo"), F.col("p.b").alias("hi"))
+    return hits.filter("NOT mixed").select("doc", "th", "lo", "hi").unionByName(part)
 
 
 def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST_ENTRIES) -> DataFrame:
-    """One row for each row: (doc, data, spans), where spans are the removed byte ranges [begin, end) of the text's UTF-8.
+    """One row for each row: (doc, data, spans, kept), where spans are the removed byte ranges [begin, end) of the text's UTF-8 and kept is the rest.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another
     row's. A null text counts as empty; texts shorter than ``length`` lose nothing; of repeated rows each loses all of
@@ -253,19 +321,27 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int =
     none = F.array().cast(spans.schema["spans"].dataType)
     hit, rest = split_by_keys(docs, spans.select(F.col("t2").alias("th")).distinct(), "th")
     joined = hit.join(spans, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc", "data", F.coalesce("spans", none).alias("spans"))
-    return joined if rest is None else joined.unionByName(rest.select("doc", "data", none.alias("spans")))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for whole, gone in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                edges = [0, *(x for s in gone for x in (s["begin"], s["end"])), None]
+                view = memoryview(whole.as_buffer())
+                kept.append(b"".join([view[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], names=["doc", "data", "spans", "kept"])
+
+    joined = map_arrow(joined, cut_out, f"doc {kind}, data binary, spans array<struct<begin:int,end:int>>, kept binary")
+    return joined if rest is None else joined.unionByName(rest.select("doc", "data", none.alias("spans"), F.col("data").alias("kept")))
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what remove() returns."""
-    size = F.length("data")
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("spans", lambda s: F.array(s["begin"], s["end"]))), F.array(size))
-    kept = F.aggregate(
-        F.sequence(F.lit(0), F.size("spans")), F.lit(b"").cast("binary"),
-        lambda a, k: F.concat(a, F.substring(F.col("data"), edges[k * 2] + 1, edges[k * 2 + 1] - edges[k * 2])),
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text of what remove() returns; in kept_text bytes of a character cut in two are U+FFFD."""
+    size, left = F.length("data").cast("long"), F.length("kept").cast("long")
+    return removed.select(
+        F.col("doc").alias("doc_id"), size.alias("n_bytes"), (size - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
     )
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["begin"]))
-    return removed.select(F.col("doc").alias("doc_id"), size.cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

@@ -10,7 +10,7 @@ from tessera.llm.queries import op10_suffix_dedup
 
 
 def result(df):
-    return Counter(tuple(r) for r in df.collect())
+    return Counter(tuple(r)[:5] for r in df.collect())
 
 
 def wanted(rows, length=400):
@@ -22,7 +22,7 @@ def test_whole_table(spark, small):
     assert result(op10_suffix_dedup(spark, small)) == wanted(texts(spark, small))
 
 
-@pytest.mark.parametrize("most", [1, 4000])
+@pytest.mark.parametrize("most", [1, 3, 4000])
 def test_edges(spark, most):
     rng = random.Random(1)
     base = "".join(rng.choice("abcdefg ") for _ in range(900))
@@ -58,3 +58,24 @@ def test_refinement_is_a_count_of_strings():
     times = Counter(p[k : k + 20] for p in parts for k in range(len(p) - 19))
     for p, f in zip(parts, found, strict=True):
         assert f.tolist() == [times[p[k : k + 20]] > 1 for k in range(len(p) - 19)]
+
+
+@pytest.mark.parametrize(("length", "gram", "size"), [(40, 16, 130), (400, 128, 1100)])
+def test_large_buckets(spark, length, gram, size):
+    """One passage in many contexts, periodic ones too: buckets of many different entries, split again and again."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(length * 3 // 4))
+    around = ["".join(rng.choice("xyz") for _ in range(size)) for _ in range(4)] + ["pq" * size]
+    rows = []
+    for k in range(60):
+        a, b = rng.choice(around), rng.choice(around)
+        rows.append((k, a[: rng.randrange(size)] + str(k % 7) * rng.randrange(3) + passage + b[rng.randrange(size) :]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1, 5):
+        assert result(suffix_dedup.digest(suffix_dedup.remove(df, length=length, gram=gram, most=most))) == wanted(rows, length)
+
+
+def test_kept_text(spark):
+    rows = [(1, "é" * 500), (2, None), (3, "plain"), (4, "ab" + "é" * 300 + "cd")]
+    got = {r.doc_id: r.kept_text for r in suffix_dedup.digest(suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[1] == "" and got[2] == "" and got[3] == "plain" and got[4] == "abcd"
