@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
 A page becomes a flat list of text blocks. Each block has its number of words and its link density (share of words inside
-links), those of the block before and after it, and what the elements around it say: whether one of them is a menu,
-header, footer, sidebar, notice, advert, form or comment section, and whether one of them is an article. A decision tree
-(CART, Gini impurity) learned from the small labelled pages below says which blocks are main text.
+links), those of the block before and after it, whether it stands in an article element (or outside the one that the page
+has), and whether an element around it is by its kind, or by a whole class name, a menu, header, footer, sidebar, notice,
+advert, form or comment section. A decision tree (CART, Gini impurity) learned from the small labelled table below says
+which blocks are main text: words and link densities of a block and its neighbours decide wherever the page doesn't say.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import functools
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +25,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 SCRIPT_PART = re.compile(r"<!--(?P<empty>-?>)?|(?P<shut>-->)|<(?P<close>/?)script(?=[\s/>])", re.I)
 HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
-# Kinds of elements, and words of classes, ids and roles.
+# Kinds of elements, and whole names of classes, ids and roles.
 #: Whose content is never text of the page.
 DROPPED = set("script style title noscript template iframe svg math canvas object audio video textarea select datalist".split())
 #: Of these, those whose content is no markup: only their own closing tag ends them.
@@ -39,12 +39,16 @@ EMPTY = set("area base br col embed hr img input link meta param source track wb
 #: Ended by the next of their kind; never put on the stack.
 LIGHT = set("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS, BOILER_TAGS = {"article", "main"}, set("nav footer aside form button menu dialog fieldset label".split())
-ARTICLE_WORDS = set("article post entry content story main".split())
-BOILER_WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
-    "sidebar side aside footer foot header masthead topbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
-    "login share sharing social related recommended recommendations trending comment comments commentlist reply replies disqus respond discussion form search pagination pager "
-    "copyright legal toolbar widget complementary contentinfo dialog skip".split()
+#: Names in lower case, compared whole, so that "side-effects" is no sidebar.
+ARTICLE_NAMES = set("article article-body article-content entry-content post-content post-body story-body main-content".split())
+BOILER_NAMES = set(
+    "ad ads ad-box ad-container ad-slot advert adverts advertisement advertising sponsor sponsored promo promotion banner "
+    "menu main-menu nav navbar nav-bar main-nav navigation breadcrumb breadcrumbs toolbar skip-link search search-form pagination pager "
+    "sidebar side-bar aside complementary widget related related-posts related-articles recommended recommendations trending most-read "
+    "masthead topbar site-header site-footer footer page-footer contentinfo copyright imprint "
+    "cookie cookies cookie-banner cookie-notice cookie-bar cookie-consent consent gdpr notice alert popup modal overlay dialog "
+    "newsletter newsletter-signup subscribe signup sign-up login login-form contact-form share sharing share-buttons social-share social-links "
+    "comment comments comment-list commentlist comment-section comments-section comment-form replies disqus disqus_thread respond discussion".split()
 )
 
 
@@ -55,7 +59,6 @@ class Block:
     linked: int
     boiler: int
     article: int
-    heading: int
 
 
 @dataclass
@@ -72,14 +75,14 @@ def _hints(tag: str, raw: str) -> tuple[bool, bool]:
         return False, False
     if " " in raw or "\n" in raw or "\t" in raw:
         for name, value in HINT.findall(raw):
-            name, value = name.lower(), value.strip("\"'")
+            name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
-                said = {w.lower() for w in PIECES.findall(value)}
-                boiler = boiler or bool(said & BOILER_WORDS)
-                article = article or bool(said & ARTICLE_WORDS)
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+                said = set(value.split())
+                boiler = boiler or bool(said & BOILER_NAMES)
+                article = article or bool(said & ARTICLE_NAMES)
+            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 boiler = True
-    return boiler, article
+    return boiler, article and not boiler
 
 
 def _raw_end(page: str, tag: str, at: int) -> int:
@@ -110,7 +113,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[_Open] = []
     parts: list[tuple[str, bool]] = []
-    links, heading, skip, light = 0, 0, "", [False]
+    links, skip, light = 0, "", [False]
 
     def end() -> None:
         nonlocal parts
@@ -118,7 +121,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             linked = sum(len(p.split()) for p, inside in parts if inside)
             boiler = light[0] or any(x.boiler for x in stack)
-            out.append(Block(text, n := len(text.split()), min(linked, n), int(boiler), int(any(x.article for x in stack)), heading))
+            out.append(Block(text, n := len(text.split()), min(linked, n), int(boiler), int(any(x.article for x in stack))))
         parts = []
 
     page, at, unclosed = page or "", 0, set()
@@ -161,7 +164,6 @@ def blocks(page: str | None) -> list[Block]:
             continue
         end()
         links, light[0] = 0, False
-        heading = int(not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
         if tag in EMPTY:
             continue
         if tag in LIGHT:
@@ -175,18 +177,26 @@ def blocks(page: str | None) -> list[Block]:
             boiler, article = _hints(tag, token)
             if tag == "header":  # of the page, unless it stands in the article
                 boiler = not any(x.article for x in stack)
+            if article:  # some pages are one form
+                for x in stack:
+                    x.boiler = x.boiler and x.tag != "form"
             stack.append(_Open(tag, boiler, article))
     end()
     return out
 
 
-FEATURES = ["words", "link density", "words before", "link density before", "words after", "link density after", "boilerplate around", "article around", "heading"]
+FEATURES = ["words", "link density", "words before", "link density before", "words after", "link density after", "marked as boilerplate", "in the article"]
 
 
 def features(found: list[Block]) -> list[list[float]]:
-    own = [(b.words, b.linked / b.words) for b in found]
-    around = [(0, 0.0), *own, (0, 0.0)]
-    return [[*around[k + 1], *around[k], *around[k + 2], b.boiler, b.article, b.heading] for k, b in enumerate(found)]
+    """In the article: 1; outside the article that the page has: -1; 0 on a page without. Beyond the edge of the article or of a marked part a block has no neighbour."""
+    outside = -1 if any(b.article and not b.boiler for b in found) else 0
+
+    def beside(b: Block, k: int) -> tuple[float, float]:
+        other = found[k] if 0 <= k < len(found) else None
+        return (other.words, other.linked / other.words) if other and (other.boiler, other.article) == (b.boiler, b.article) else (0, 0.0)
+
+    return [[b.words, b.linked / b.words, *beside(b, k - 1), *beside(b, k + 1), b.boiler, 1 if b.article else outside] for k, b in enumerate(found)]
 
 
 @dataclass
@@ -204,7 +214,7 @@ class Tree:
         return node.main
 
 
-def learn(rows: list[list[float]], labels: list[bool], depth: int = 6) -> Tree:
+def learn(rows: list[list[float]], labels: list[bool], depth: int = 9) -> Tree:
     """CART: the split with the least Gini impurity, the first feature and lowest threshold of equals; leaves take the majority."""
     yes = sum(labels)
     leaf = Tree(main=2 * yes > len(labels))
@@ -232,21 +242,25 @@ def learn(rows: list[list[float]], labels: list[bool], depth: int = 6) -> Tree:
     return Tree(feature=f, most=cut, low=low, high=high)
 
 
-@dataclass
-class Example:
-    """A labelled page: its blocks that are main text are those whose text begins with +."""
+def example(page: str) -> tuple[list[list[float]], list[bool]]:
+    """Features and labels of a labelled page: its blocks that are main text are those whose text begins with +."""
+    found = blocks(page)
+    return features(found), [b.text.startswith("+") for b in found]
 
-    page: str
-    rows: list[list[float]] = field(default_factory=list)
-    labels: list[bool] = field(default_factory=list)
 
-    def __post_init__(self) -> None:
-        found = blocks(self.page)
-        self.rows, self.labels = features(found), [b.text.startswith("+") for b in found]
+def sketch(page: str) -> tuple[list[list[float]], list[bool]]:
+    """As example(), of a page given as its blocks: words/linked words, before them "n" (marked as boilerplate) or "a" (in the article), after them "+" for main text."""
+    found, labels = [], []
+    for block in page.split():
+        where = block[0] if block[0] in "na" else ""
+        words, linked = map(int, block[len(where) :].rstrip("+").split("/"))
+        found.append(Block("", words, linked, int(where == "n"), int(where == "a")))
+        labels.append(block.endswith("+"))
+    return features(found), labels
 
 
 _PROSE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
-#: The labelled table.
+#: The labelled table: whole pages, and pages given as their blocks.
 LABELLED = [
     f"<body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><div class=ad>Buy the best boots now for less money today.</div><article><h1>+ A title</h1><p>+ {_PROSE} {_PROSE}</p><p>+ Short.</p><p>+ {_PROSE}</p></article><footer>&copy; A site. {_PROSE}</footer></body>",
     f"<header><a href=/>The Site</a></header><main><h1>+ Story</h1><p>+ {_PROSE}</p><p>+ See <a href=x>this page</a> too.</p><ul><li>+ first point</li><li>+ second point</li></ul><h2>+ Part</h2><p>+ {_PROSE} {_PROSE} {_PROSE}</p><aside>Popular now: {_PROSE}</aside><p>+ End.</p></main><footer>Terms</footer>",
@@ -270,10 +284,49 @@ LABELLED = [
 ]
 
 
+SKETCHES = [
+    # menus, adverts and footers that nothing marks, around plain text
+    "1/1 1/1 1/1 1/1 7/0+ 40/0+ 60/0+ 25/0+ 4/4 5/5 3/0",
+    "2/0 3/3 2/2 9/0+ 55/3+ 30/0+ 6/0+ 48/0+ 80/4+ 2/2 2/2 9/0",
+    "1/1 1/1 8/0 6/0+ 42/0+ 38/0+ 1/1 1/1",
+    "3/3 4/4 10/0 5/0+ 70/2+ 22/0+ 35/0+ 6/6 7/7 12/0",
+    "12/12 8/0+ 33/1+ 5/5 41/0+ 28/0+ 4/4 4/4",
+    "6/5 90/0+ 4/0+ 120/6+ 31/0+ 9/9 2/0",
+    "2/2 2/2 2/2 24/0+ 36/0+ 3/3 44/0+ 2/2 2/2 8/1",
+    "4/0 1/1 1/1 1/1 11/0+ 64/0+ 19/0+ 52/0+ 15/14 15/15 6/0",
+    "5/5 5/5 5/5 5/5 5/5 4/0 3/0",
+    "1/1 9/8 2/0 10/10",
+    "1/1 1/1 1/1 4/0+ 20/0+ 41/0+ 1/1 1/1 3/0",
+    "2/2 6/0 5/0+ 18/0+ 22/0+ 17/0+ 4/4",
+    "3/3 9/0+ 16/0+ 3/0+ 19/0+ 8/0",
+    "150/0+ 90/0+ 3/0",
+    "30/0+",
+    # lists of links in an article are menus; a link by itself is text
+    "a8/0+ a30/0+ a4/4 a5/5 a3/3 a25/0+ n9/0",
+    "a6/0+ a45/2+ a4/4+ a28/0+ a7/7 a6/6",
+    "a5/0+ a3/3+ a60/0+ a2/2+ a2/0+",
+    "a10/10+ a50/0+ a12/11 a12/12 a14/13 a12/12",
+    "n2/2 a9/0+ a1/1 a1/1 a1/1 a33/0+ a2/0+ a1/0+",
+    "a70/1+ a5/5 a6/6 a5/5 a80/0+ a3/3+ a55/0+ a6/6+ a90/0+",
+    "a5/0+ a9/9+ a12/0+ a1/1+ a16/0+ a8/8 a8/8 a14/0+ a2/2+",
+    "a60/0+ n5/5 n50/50 a75/0+ n4/4 a20/0+ n9/9 a48/0+",
+    "a3/0+ a4/1+ a5/0+ a6/2+ a2/0+ a3/0+ a1/0+",
+    "n1/1 n1/1 a7/7+ a30/0+ a40/0+ 5/5 6/6",
+    # outside the article there is none, however long or plain
+    "9/0 18/0 40/0 a7/0+ a35/0+ a20/0+ 30/0 2/2",
+    "25/2 1/1 a50/0+ a5/0+ 60/0 45/1",
+    "70/0 a12/0+ 80/0",
+    # marked blocks are none, in the article or out of it
+    "n30/0 8/0+ 50/0+ n45/0 60/0+ n12/6",
+    "a40/0+ n35/0 a22/0+ n60/0 n80/2 n5/0",
+    "n3/0 n90/0 n20/0 32/0+ 28/0+ n70/0",
+]
+
+
 @functools.lru_cache(maxsize=1)
 def tree() -> Tree:
-    examples = [Example(page) for page in LABELLED]
-    return learn([r for e in examples for r in e.rows], [y for e in examples for y in e.labels])
+    examples = [*map(example, LABELLED), *map(sketch, SKETCHES)]
+    return learn([r for rows, _ in examples for r in rows], [y for _, labels in examples for y in labels])
 
 
 def main_text(page: str | None) -> str:

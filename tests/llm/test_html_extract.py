@@ -65,8 +65,42 @@ def test_dropped_content_is_no_markup(head):
 
 
 def test_labelled_pages_are_learned():
-    for example in map(html_extract.Example, html_extract.LABELLED):
-        assert [html_extract.tree().says(r) for r in example.rows] == example.labels
+    for rows, labels in [*map(html_extract.example, html_extract.LABELLED), *map(html_extract.sketch, html_extract.SKETCHES)]:
+        assert [html_extract.tree().says(r) for r in rows] == labels
+
+
+def test_the_tree_uses_neighbours():
+    used = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            used.add(html_extract.FEATURES[node.feature])
+            walk(node.low)
+            walk(node.high)
+
+    walk(html_extract.tree())
+    assert {"words", "link density"} < used and len(used & {"words before", "link density before", "words after", "link density after"}) >= 2
+
+
+@pytest.mark.parametrize("name", "page-header post-form side-effects social-science story-comment legal-history notice-board".split())
+def test_ordinary_class_names(name):
+    assert html_extract.main_text(f"<nav><a href=1>Home</a></nav><article><div class={name}><p>{PROSE}</p><p>{PROSE}</p></div></article>") == f"{PROSE}\n\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>Buy two for one, only this week, in all our shops and on our pages for members and others.</p><article><p>{PROSE}</p><p>So.</p></article><p>{PROSE}</p>", f"{PROSE}\n\nSo."),
+        (f"<div><a href=1>Home</a></div><div><a href=2>News</a></div><div><a href=3>Sport</a></div><h1>Rain on the town</h1><p>{PROSE}</p><p>{PROSE} {PROSE}</p><p><a href=4>Older</a></p><p><a href=5>Newer</a></p><p>All rights kept</p>", f"Rain on the town\n\n{PROSE}\n\n{PROSE} {PROSE}"),
+        (f"<article><h1>Rain</h1><p>{PROSE}</p><ul><li><a href=1>More rain</a></li><li><a href=2>And snow</a></li><li><a href=3>Or sun</a></li></ul><p>{PROSE}</p></article>", f"Rain\n\n{PROSE}\n\n{PROSE}"),
+        (f"<form action=x><div class=top><a href=1>Home</a></div><article><p>{PROSE}</p></article></form>", PROSE),
+        (f"<article><p>{PROSE}</p></article><section class='comments'><article><p>{PROSE}</p></article></section>", PROSE),
+        (f"<nav><a href=1>Home</a></nav><article><h1><a href=x>Rain on the town</a></h1><p>{PROSE}</p></article>", f"Rain on the town\n\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><article class='comment odd'><p>{PROSE}</p></article></article>", PROSE),
+    ],
+)
+def test_unmarked_parts(page, text):
+    assert html_extract.main_text(page) == text
 
 
 def test_frames(spark):
