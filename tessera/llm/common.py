@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,10 +34,12 @@ def word_hashes(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share: the one spark.checkpoint.dir names; a local one only where the session has none."""
+    """The checkpoint folder that all executors share: the one spark.checkpoint.dir names. Only a session on one machine may go without: it gets a temporary one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -48,14 +51,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """As cut(), but as a compressed table of columns, for larger results; it goes with the checkpoint folder."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """As cut(), but as a compressed table of columns, for larger results; the folder is deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches that stay small where rows hold whole texts: the session's batch limit is lowered to ARROW_ROWS. Arrow's memory is given back at the end."""
+    """mapInArrow with batches that stay small where rows hold whole texts. Arrow's memory is given back at the end.
+
+    Spark reads the batch limit when a plan runs, which may be long after this, so the session's limit is lowered to ARROW_ROWS and stays so.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -83,36 +92,46 @@ def split_by_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCA
     return df.join(F.broadcast(keys), key, "left_semi"), df.join(F.broadcast(keys), key, "left_anti")
 
 
-def join_keys(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """rows with the columns of keyed, which has each key once and how many rows have it; keys that keyed hasn't go.
+def join_keys(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str = "n", keep: bool = False) -> DataFrame:
+    """rows with the columns of keyed, which has each key (one column or several) and how many rows have it; keys that keyed hasn't go.
 
     Keys with over 1 / HOT_KEYS of the rows, fewer than HOT_KEYS by that, are broadcast, so that no task gets all rows of a
-    key; the others are shuffled. Both sides are read several times: they should be written tables or cheap.
+    key; the others are shuffled. Both sides are read several times: they should be written tables or cheap. ``keep``: n stays.
     """
     total = keyed.agg(F.sum(n)).first()[0] or 0
-    hot, cold = keyed.filter(F.col(n) > total / HOT_KEYS).drop(n), keyed.filter(F.col(n) <= total / HOT_KEYS).drop(n)
+    hot, cold = keyed.filter(F.col(n) > total / HOT_KEYS), keyed.filter(F.col(n) <= total / HOT_KEYS)
+    if not keep:
+        hot, cold = hot.drop(n), cold.drop(n)
     if hot.isEmpty():
         return rows.join(cold, key)
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti").join(cold, key))
+
+
+def told_apart(rows: DataFrame, node: str, more: str) -> DataFrame:
+    """rows with another ``node``, made of both, where different values of ``more`` share one: hashes of 64 bits collide among billions. Column more goes; null nodes stay."""
+    twice = cut(rows.filter(F.col(node).isNotNull()).groupBy(node).agg(F.min(more).alias("a"), F.max(more).alias("b")).filter("a <> b").select(node))
+    if twice.isEmpty():
+        return rows.drop(more)
+    few = sized(twice)
+    again = rows.join(few, node, "left_semi").withColumn(node, F.xxhash64(node, more))
+    return again.unionByName(rows.join(few, node, "left_anti")).drop(more)
 
 
-def components(edges: DataFrame, most_rounds: int = 100, hot_from: int = 2_000_000) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Connected components of (a long, b long): (node, comp) with comp the smallest node of the component.
 
     Alternating large-star and small-star rounds, each written to the checkpoint folder. Every round groups edges by
-    one end with partial minima; no component is ever gathered in one task, and with ``hot_from`` edges or more (fewer are
-    no load for any task) a node with very many is joined by itself. Empty edges give an empty result; loops and repeated
-    edges do no harm.
+    one end with partial minima; no component is ever gathered in one task, and a node with over 1 / HOT_KEYS of the
+    edges is joined by itself. Empty edges give an empty result; loops and repeated edges do no harm.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     size = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = e.agg(*size).first()
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        above = both.filter("v > u")
-        large = join_keys(above, cut(low), "u") if before[0] >= hot_from else above.join(low, "u")
-        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = join_keys(both.filter("v > u"), cut(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.filter("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node has few smaller neighbours now
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         e = cut(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
@@ -121,7 +140,8 @@ def components(edges: DataFrame, most_rounds: int = 100, hot_from: int = 2_000_0
             break
         before = now
     else:
-        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 

@@ -7,15 +7,16 @@ Darts are thrown up to the rank where k log k + 2k of them are expected in the w
 with k times the document. Each dart hits one of k coordinates; the earliest dart of each coordinate is the signature, and
 two signatures agree in a coordinate with the probability of the documents' weighted Jaccard similarity.
 
-Bands of coordinates join documents into candidate groups. All pairs within a group are compared exactly, by counting common
-elements with matrix products; groups over ``BLOCK`` documents are compared block by block in separate tasks. Tasks give a
-spanning forest of the links, not the links.
+Documents that share a band's key are candidates, and only they are compared, exactly, by counting common elements with
+matrix products. First each is compared with the smallest of all it shares a key with; then, in each key's documents that
+this hasn't joined to one class yet, those outside the largest class with all others, ``BLOCK`` against ``BLOCK`` to a task.
+Only verified pairs link, so weak candidates never chain into groups. Tasks give a spanning forest of the links.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, cut_table, documents, join_keys, keep_keys, map_arrow, same_document, word_hashes
+from tessera.llm.common import components, cut, cut_table, documents, join_keys, keep_keys, map_arrow, same_document, told_apart, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: With these a pair at the threshold becomes a candidate with probability 0.9997.
@@ -134,24 +135,27 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc, th, sig, bands) of documents; sig tells different weighted sets apart and is null without words."""
+    """(doc, th, sig, more, bands) of documents; sig and more tell different weighted sets apart and are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(2)
             values, offsets = h.values.to_numpy(), h.offsets.to_numpy()
-            sigs, found = [], []
+            sigs, more, found = [], [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 if a == b:
                     sigs.append(None)
+                    more.append(None)
                     found.append([])
                     continue
                 strips = elements(values[a:b], shingle)
-                sigs.append(int.from_bytes(hashlib.blake2b(strips.tobytes(), digest_size=8).digest(), "little", signed=True))
+                digest = hashlib.blake2b(strips.tobytes(), digest_size=16).digest()
+                sigs.append(int.from_bytes(digest[:8], "little", signed=True))
+                more.append(int.from_bytes(digest[8:], "little", signed=True))
                 found.append(bands(signature(strips)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "th", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array(more, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "th", "sig", "more", "bands"])
 
-    return map_arrow(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, th long, sig long, bands array<long>")
+    return map_arrow(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, th long, sig long, more long, bands array<long>")
 
 
 def _strips(rows: DataFrame, shingle: int) -> DataFrame:
@@ -168,24 +172,80 @@ def _strips(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def compared(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """A spanning forest (a, b) of the links between the documents (grp, i, j, blk, sig, strips) of one task."""
+    """A spanning forest (a, b) of the links between the documents (grp, i, j, is_left, comp, sig, strips) of one task.
+
+    In each part (grp, i, j) those on the left are compared with the others, but for those of one class ``comp`` already.
+    """
     out: list[tuple[int, int]] = []
-    for (_, i, j), part in pdf.groupby(["grp", "i", "j"], sort=False):
+    for _, part in pdf.groupby(["grp", "i", "j"], sort=False):
         sets = [np.frombuffer(x, np.uint64) for x in part["strips"]]
-        sigs, blk = part["sig"].to_numpy(), part["blk"].to_numpy()
-        left = np.flatnonzero(blk == i)
-        right = left if i == j else np.flatnonzero(blk == j)
+        sigs, comp, is_left = part["sig"].to_numpy(), part["comp"].to_numpy(), part["is_left"].to_numpy()
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        if not len(right):
+            continue
+        size = np.array([len(s) for s in sets], np.float32)
         for begin in range(0, len(left), BLOCK):  # blocks are of BLOCK in expectation
             some = left[begin : begin + BLOCK]
             inter = common_counts([sets[x] for x in some], [sets[x] for x in right])
-            size = np.array([len(s) for s in sets], np.float32)
             like = inter >= np.float32(similarity - 1e-9) * (size[some][:, None] + size[right][None] - inter)
-            a, b = np.nonzero(like)
+            a, b = np.nonzero(like & (comp[some][:, None] != comp[right][None]))
             pairs = np.stack((some[a], right[b]), axis=1)
-            out += [(int(sigs[x]), int(sigs[y])) for x, y in forest(len(sets), pairs[pairs[:, 0] != pairs[:, 1]])]
+            out += [(int(sigs[x]), int(sigs[y])) for x, y in forest(len(sets), pairs)]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _verified(parts: DataFrame, strips: DataFrame, tasks: int, similarity: float) -> DataFrame:
+    """Links (a, b) of compared() for parts (grp, i, j, is_left, comp, sig, alone); a part that isn't small has a task ``alone``."""
+    task = F.when(F.col("alone"), F.xxhash64("grp", "i", "j")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(tasks)))
+    return parts.join(strips, "sig").withColumn("task", task).drop("alone").groupBy("task").applyInPandas(lambda pdf: compared(pdf, similarity), "a long, b long")
+
+
+def _spread(members: DataFrame, block: int) -> DataFrame:
+    """Parts for _verified() of members (grp, sig, comp, is_minor, n, minors): blocks of minor members against blocks of all."""
+    members = members.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("nm", F.ceil(F.col("minors") / block).cast("int"))
+    of = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    left = members.filter("is_minor").withColumn("i", of("nm")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("is_left", F.lit(True))
+    right = members.withColumn("j", of("nb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).withColumn("is_left", F.lit(False))
+    columns = ["grp", "i", "j", "is_left", "comp", "sig", (F.col("n") > block // 8).alias("alone")]
+    return left.select(*columns).unionByName(right.select(*columns))
+
+
+def links(keys: DataFrame, strips_of: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
+    """(node, comp) for the sigs of (sig, key) that are linked to another: pairs that share a key, of at least ``similarity``."""
+    xor = [F.bit_xor(F.xxhash64("sig", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("low"), *xor).filter("n > 1")
+    # keys of the very same documents, as most keys of a few near copies are, count once
+    shared = cut(shared.groupBy("n", "low", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n", "low"))
+    members = cut_table(join_keys(keys, shared, "key"))
+    strips = cut_table(strips_of(members.select("sig").distinct()))
+
+    # each with the smallest of all that it shares a key with
+    lowest = cut(members.groupBy("sig").agg(F.min("low").alias("grp")))
+    stars = lowest.filter("sig <> grp").withColumn("i", F.lit(0)).join(lowest.filter("sig <> grp").groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    stars = stars.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("j", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
+    alone = (F.col("n") > block // 8).alias("alone")
+    heads = stars.select("grp", "i", "n", "nb").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    parts = heads.select("grp", "i", "j", F.lit(True).alias("is_left"), F.col("grp").alias("comp"), F.col("grp").alias("sig"), alone)
+    parts = parts.unionByName(stars.select("grp", "i", "j", F.lit(False).alias("is_left"), F.col("sig").alias("comp"), "sig", alone))
+    tasks = lowest.count() // block + 1
+    first = components(_verified(parts, strips, tasks, similarity))
+
+    # the keys whose documents are in several classes yet; a pair that was compared above is done
+    named = cut(lowest.join(first.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "grp", F.coalesce("comp", "sig").alias("comp")))
+    inside = cut_table(members.join(named.withColumnRenamed("grp", "star"), "sig"))
+    counted = inside.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max((F.col("star") != F.col("low")).cast("int")).alias("other"))
+    counted = counted.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major"), F.max("c").alias("most"), F.max("other").alias("other"))
+    open_keys = cut(counted.filter("comps > 1 AND (n > 2 OR other = 1)").select("key", "n", "major", (F.col("n") - F.col("most")).alias("minors")))
+    rest = join_keys(inside.select("key", "sig", "comp"), open_keys, "key", "n", keep=True)
+    rest = rest.select(F.col("key").alias("grp"), "sig", "comp", (F.col("comp") != F.col("major")).alias("is_minor"), "n", "minors")
+    tasks = (open_keys.agg(F.sum("n")).first()[0] or 0) // block + 1
+    more = _verified(_spread(rest, block), strips, tasks, similarity)
+    at = named.select("sig", "comp")
+    more = more.join(at.toDF("a", "u"), "a").join(at.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    second = components(more).toDF("comp", "wider")
+    return named.join(second, "comp", "left").select(F.col("sig").alias("node"), F.coalesce("wider", "comp").alias("comp"))
+
+
 def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc, th, class_id, kept) for every row: class_id the smallest id of the documents reachable by links, kept the row it stands for.
 
@@ -195,23 +255,17 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity
     """
     rows = documents(docs, doc, text)
     hashed = rows.select("doc", "th", word_hashes(F.col("text")).alias("h"))
-    every = cut_table(_signed(hashed, shingle))
+    every = told_apart(cut_table(_signed(hashed, shingle)), "sig", "more")
     signed = every.filter("sig IS NOT NULL")
     reps = cut(signed.groupBy("sig").agg(F.first("doc").alias("doc"), F.first("th").alias("th"), F.count("*").alias("n")))
     keys = cut_table(signed.select("sig", F.explode("bands").alias("key")).distinct())
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("low")).filter("n > 1"))
-    edges = join_keys(keys, shared, "key").filter("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b"))
-    groups = components(edges).withColumnsRenamed({"node": "sig", "comp": "grp"})
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    members = cut(groups.join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")))
-    of = cut(members.select("sig").join(reps.drop("n"), "sig").withColumnsRenamed({"doc": "d2", "th": "t2"}))
-    some = keep_keys(hashed.select("doc", "th", "h"), of.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
-    strips = _strips(some.join(of, same_document("d2", "t2")).select("sig", "h"), shingle)
-    bundles = members.count() // block + 1
-    each = strips.join(members, "sig").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-    task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(bundles))).otherwise(F.xxhash64("grp", "i", "j"))
-    links = each.select(task.alias("task"), "grp", "i", "j", "blk", "sig", "strips").groupBy("task").applyInPandas(lambda pdf: compared(pdf, similarity), "a long, b long")
-    found = components(links)
+
+    def strips_of(sigs: DataFrame) -> DataFrame:
+        of = cut(sigs.join(reps.drop("n"), "sig").withColumnsRenamed({"doc": "d2", "th": "t2"}))
+        some = keep_keys(hashed.select("doc", "th", "h"), of.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
+        return _strips(some.join(of, same_document("d2", "t2")).select("sig", "h"), shingle)
+
+    found = links(keys, strips_of, similarity, block)
     named = cut(reps.select("sig", "n").join(found, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("comp", "sig").alias("comp")))
     labelled = cut(join_keys(signed.select("doc", "th", "sig"), named, "sig").select("doc", "th", "comp"))
     best = cut(labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("best"), F.count("*").alias("n")))
