@@ -89,15 +89,49 @@ def test_edges(spark):
     assert embedding_dedup.link(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().kept
 
 
-def test_tables_find_all_that_agree_in_a_block(spark):
+@pytest.mark.parametrize(("width", "blocks"), [(16, 4), (12, 7)])
+def test_tables_find_all_that_agree_in_a_block(spark, width, blocks):
     rng = np.random.default_rng(5)
-    base = rng.integers(-(2**63), 2**63 - 1, 30)
-    codes = [(int(n), int(base[n % 30] ^ np.int64(sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 12), replace=False))))) for n in range(240)]
+    tables = embedding_dedup.Tables(width, blocks)
+    base = rng.integers(0, 2, (30, width * blocks))
+    codes = [base[n % 30] ^ (rng.random(width * blocks) < rng.uniform(0, 0.25)) for n in range(240)]
     want = set()
-    for a, x in codes:
-        for b, y in codes:
-            diff = (x ^ y) & (2**64 - 1)
-            if a < b and diff.bit_count() <= embedding_dedup.RADIUS and min(((diff >> 16 * k) & 0xFFFF).bit_count() for k in range(4)) <= 1:
+    for a, x in enumerate(codes):
+        for b, y in enumerate(codes):
+            diff = (x ^ y).reshape(blocks, width).sum(axis=1)
+            if a < b and diff.sum() <= tables.radius and diff.min() <= 1:
                 want.add((a, b))
-    found = [(r.a, r.b) for r in embedding_dedup.candidates(spark.createDataFrame(codes, "node long, code long")).collect()]
+            assert not (a < b and diff.sum() <= 2 * blocks - 1) or (a, b) in want  # complete to that radius
+    unit = spark.createDataFrame([(n, [float(b) for b in c]) for n, c in enumerate(codes)], "node long, v array<double>")
+    coded = embedding_dedup.codes(unit, np.full(width * blocks, 0.5), np.eye(width * blocks), tables)
+    found = [(r.a, r.b) for r in embedding_dedup.candidates(coded, tables).collect()]
     assert sorted(found) == sorted(want)
+
+
+@pytest.mark.parametrize("rank", [12, 64])
+def test_recall_of_pairs_at_the_threshold(spark, rank):
+    rng = np.random.default_rng(8)
+    basis = rng.normal(size=(rank, 64))
+    vectors = []
+    for _ in range(400):
+        x, step = rng.normal(size=rank) @ basis, rng.normal(size=rank) @ basis
+        x /= np.linalg.norm(x)
+        step -= (step @ x) * x
+        vectors += [x, 0.951 * x + np.sqrt(1 - 0.951**2) * step / np.linalg.norm(step)]
+    df = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    linked = {r.vec_id: r.n_links for r in embedding_dedup.link(df).collect()}
+    assert sum(linked[2 * k] > 0 for k in range(400)) >= 0.95 * 400
+
+
+def test_candidates_grow_with_the_vectors():
+    """The share of unlike pairs that a table retrieves falls as their number grows."""
+    rng = np.random.default_rng(2)
+    made = []
+    for n in (2000, 8000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        centre, projection, tables = embedding_dedup.fitted(x[:2000], n)
+        code = ((x - centre) @ projection >= 0).reshape(n, tables.blocks, tables.width)[:, 0]
+        counts = np.unique(code @ (1 << np.arange(tables.width)), return_counts=True)[1]
+        made.append((counts**2).sum() / n)
+    assert made[1] < 1.5 * made[0]
