@@ -1,24 +1,25 @@
 """License scans by diagonal voting.
 
 All rolling word k-gram hashes of all documents are joined to the places of those k-grams in license templates. Each hit
-votes for a diagonal (place in the document minus place in the template). Votes are summed by diagonal, neighbouring
-diagonals of a template are merged into spans, since a word more or less shifts the rest of a text by a diagonal, and the
-words of the spans are compared with the template's.
+votes for a diagonal (place in the document minus place in the template). Votes are summed by diagonal, and neighbouring
+diagonals of a template are merged into a span, since a word more or less shifts the rest of a text by a diagonal: as many
+as the words that may be missing, no more. The words of the spans are then aligned with the template's, in order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, documents, keep_keys, rolling, same_document, sized, word_hashes, words
 
 #: Words of a gram: of phrases, that have to stand as they are, and of notices, that may differ.
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
-#: Diagonals that merge, and the share of a notice's words that a span must have.
-GAP, COVERAGE = 4, 0.8
+#: The share of a notice's words that a span must have, in order.
+COVERAGE = 0.8
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,20 @@ class Template:
     def words(self) -> list[str]:
         return self.text.split()
 
+    @property
+    def gram(self) -> int:
+        return NOTICE_GRAM if self.notice else PHRASE_GRAM
+
+    @property
+    def drift(self) -> int:
+        """Words that may differ, and so diagonals that a span may cross."""
+        return ceil(len(self.words) * (1 - COVERAGE) - 1e-9) if self.notice else 0
+
+    @property
+    def votes(self) -> int:
+        """Fewest votes of a span; a word that differs costs up to a gram's length."""
+        return max(1, len(self.words) - self.gram + 1 - self.gram * self.drift)
+
 
 # Phrases and well-known public license notices, in lower case without punctuation.
 TEMPLATES = [
@@ -61,81 +76,92 @@ TEMPLATES = [
 ]
 
 
-def _places(spark: SparkSession, templates: list[Template], k: int) -> DataFrame:
+def _places(spark: SparkSession, templates: list[Template]) -> DataFrame:
     """(gram, t, at): where each gram of the templates stands."""
-    rows = [(n, t.words) for n, t in enumerate(templates)]
-    h = spark.createDataFrame(rows, "t int, w array<string>").select("t", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    return h.select("t", F.size("h").alias("n"), F.posexplode(rolling("h", k)).alias("at", "gram")).filter(F.col("at") + k <= F.col("n")).select("gram", "t", "at")
+    out = []
+    for k in (PHRASE_GRAM, NOTICE_GRAM):
+        rows = [(n, t.words) for n, t in enumerate(templates) if t.gram == k]
+        h = spark.createDataFrame(rows, "t int, w array<string>").select("t", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+        out.append(h.select("t", F.size("h").alias("n"), F.posexplode(rolling("h", k)).alias("at", "gram")).filter(F.col("at") + k <= F.col("n")).select("gram", "t", "at"))
+    return out[0].unionByName(out[1])
 
 
-def diagonals(hashed: DataFrame, places: DataFrame, k: int) -> DataFrame:
+def diagonals(hashed: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, th, t, diagonal, votes) of documents (doc, th, h): the different places that vote for each diagonal, gathered before and after the shuffle.
 
-    A repeated row's places count once; a diagonal has at most as many as its template has words.
+    The grams of both lengths are looked up in one pass. A repeated row's places count once; a diagonal has at most as
+    many as its template has words.
     """
-    grams = hashed.select("doc", "th", F.size("h").alias("n"), F.posexplode(rolling("h", k)).alias("p", "gram")).filter(F.col("p") + k <= F.col("n"))
-    hits = grams.join(sized(places), "gram").select("doc", "th", "t", "at", (F.col("p") - F.col("at")).alias("diagonal"))
+    h = F.col("h")
+    grams = F.transform(h, lambda x, i: F.array(*(F.when(i + k <= F.size(h), F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k)))) for k in (PHRASE_GRAM, NOTICE_GRAM))))
+    each = hashed.select("doc", "th", F.posexplode(grams).alias("p", "own")).select("doc", "th", "p", F.explode("own").alias("gram"))
+    hits = each.join(sized(places), "gram").select("doc", "th", "t", "at", (F.col("p") - F.col("at")).alias("diagonal"))
     return hits.groupBy("doc", "th", "t", "diagonal").agg(F.size(F.collect_set("at")).cast("long").alias("votes"))
 
 
+def in_order(words_of: Column, template: Column) -> Column:
+    """Most of the template's words that stand in the others in the same order: the length of their longest common subsequence, row by row."""
+
+    def following(row: Column, word: Column) -> Column:
+        cell = lambda done, j: F.when(F.get(template, j) == word, F.get(row, j) + 1).otherwise(F.greatest(F.get(row, j + 1), F.get(done, j)))
+        return F.aggregate(F.sequence(F.lit(0), F.size(template) - 1), F.array(F.lit(0)), lambda done, j: F.concat(done, F.array(cell(done, j))))
+
+    return F.array_max(F.aggregate(words_of, F.array_repeat(F.lit(0), F.size(template) + 1), following))
+
+
 def scan(docs: DataFrame, templates: list[Template] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for every row.
 
     A span has label, base, start, end (words, end exclusive) and coverage; one inside a longer span counts only for base
-    phrases. Phrases must stand word by word, wherever they
-    stand, overlapping too; notices may miss a fifth of their words. score is the largest coverage, 0 without a span.
-    Null and empty texts have no words. Rows with one id are told apart by their text; repeated rows have the same
-    result each.
+    phrases. Phrases must stand word by word, wherever they stand, overlapping too; of a notice a fifth of the words may
+    be missing or others, the rest stand in order. score is the largest coverage, 0 without a span. Null and empty texts
+    have no words. Rows with one id are told apart by their text; repeated rows have the same result each.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    phrases, notices = [t for t in templates if not t.notice], [t for t in templates if t.notice]
     rows = documents(docs, doc, text)
     hashed = rows.select("doc", "th", word_hashes(F.col("text")).alias("h"))
-
-    exact = diagonals(hashed, _places(spark, phrases, PHRASE_GRAM), PHRASE_GRAM)
-    info = spark.createDataFrame([(n, t.label, t.base, t.words, len(t.words)) for n, t in enumerate(phrases)], "t int, label string, base boolean, tw array<string>, len int")
-    exact = exact.join(F.broadcast(info), "t").filter(F.col("votes") == F.col("len") - PHRASE_GRAM + 1)  # as many rows as templates
-    exact = exact.select("doc", "th", "label", "base", "tw", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("len")).alias("end"))
-    found = exact
-    if notices:
-        loose = diagonals(hashed, _places(spark, notices, NOTICE_GRAM), NOTICE_GRAM)
-        info = spark.createDataFrame([(n, t.label, t.base, t.words, len(t.words)) for n, t in enumerate(notices)], "t int, label string, base boolean, tw array<string>, len int")
-        by = Window.partitionBy("doc", "th", "t").orderBy("diagonal")  # the diagonals of one template in one document
-        loose = loose.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > GAP).cast("int"))
-        loose = loose.withColumn("group", F.sum(F.coalesce("new", F.lit(0))).over(by))
-        merged = loose.groupBy("doc", "th", "t", "group").agg(F.min("diagonal").alias("a"), F.max("diagonal").alias("b"), F.sum("votes").alias("votes"))
-        # a word that differs costs up to NOTICE_GRAM grams
-        enough = F.greatest(F.lit(1), F.col("len") - NOTICE_GRAM + 1 - NOTICE_GRAM * F.ceil(F.col("len") * (1 - COVERAGE)))
-        merged = merged.join(F.broadcast(info), "t").filter(F.col("votes") >= enough)
-        found = exact.unionByName(merged.select("doc", "th", "label", "base", "tw", F.greatest(F.lit(0), "a").alias("start"), (F.col("b") + F.col("len")).alias("end")))
-
-    # verify: the words of the spans, from the documents that have any
-    found = cut(found.groupBy("doc", "th").agg(F.collect_list(F.struct("label", "base", "tw", "start", "end")).alias("f")).withColumnsRenamed({"doc": "d2", "th": "t2"}))
+    kinds = "t int, label string, base boolean, tw array<string>, len int, drift int, least int"
+    info = spark.createDataFrame([(n, t.label, t.base, t.words, len(t.words), t.drift, t.votes) for n, t in enumerate(templates)], kinds)
+
+    # a diagonal by itself, and with those after it as far as a text may drift
+    most = max((t.drift for t in templates), default=0)
+    ahead = Window.partitionBy("doc", "th", "t").orderBy("diagonal")  # the diagonals of one template in one document
+    after = F.filter(F.collect_list(F.struct("diagonal", "votes")).over(ahead.rangeBetween(0, most)), lambda x: x["diagonal"] <= F.col("diagonal") + F.col("drift"))
+    found = diagonals(hashed, _places(spark, templates)).join(F.broadcast(info), "t").withColumn("after", after)  # as many rows as templates
+    found = found.withColumn("total", F.aggregate("after", F.lit(0).cast("long"), lambda s, x: s + x["votes"])).filter(F.col("total") >= F.col("least"))
+    ends = F.array_distinct(F.array(F.col("diagonal"), F.array_max(F.transform("after", lambda x: x["diagonal"]))))
+    found = found.withColumn("last", F.explode(ends)).select("doc", "th", "t", "label", "base", "tw", "diagonal", F.greatest(F.lit(0), "diagonal").alias("start"), (F.col("last") + F.col("len")).alias("end"))
+
+    # align the words of the spans, from the documents that have any
+    found = cut(found.groupBy("doc", "th").agg(F.collect_list(F.struct("t", "label", "base", "tw", "diagonal", "start", "end")).alias("f")).withColumnsRenamed({"doc": "d2", "th": "t2"}))
     some = keep_keys(rows, found.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
     spans = some.join(found, same_document("d2", "t2")).select("doc", "th", words(F.col("text")).alias("w"), "f")
-
-    def own(s):
-        return F.slice("w", s["start"] + 1, F.greatest(F.lit(0), s["end"] - s["start"]))
-
-    def coverage(s):
-        left = F.array_join(own(s), " ")
-        same = F.size(F.filter(F.array_distinct(s["tw"]), lambda x: F.array_contains(own(s), x))) / F.size(F.array_distinct(s["tw"]))
-        return F.when(left == F.array_join(s["tw"], " "), 1.0).otherwise(same)
-
-    checked = F.transform("f", lambda s: F.struct(s["label"].alias("label"), s["base"].alias("base"), s["start"].cast("long").alias("start"), F.least(s["end"], F.size("w")).cast("long").alias("end"), coverage(s).alias("coverage"), (F.size(s["tw"]) == s["end"] - s["start"]).alias("whole")))
-    spans = spans.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), F.filter(checked, lambda s: F.when(s["base"], s["coverage"] == 1.0).otherwise(s["coverage"] >= COVERAGE)).alias("spans"))
+    spans = spans.select("doc", "th", F.explode(F.transform("f", lambda s: F.struct(s.alias("s"), F.slice("w", s["start"] + 1, F.greatest(F.lit(0), s["end"] - s["start"])).alias("own")))).alias("x"))
+    spans = spans.select("doc", "th", "x.s.*", "x.own")
+    coverage = F.when(F.col("own") == F.col("tw"), 1.0).when(F.col("t").isin([n for n, t in enumerate(templates) if t.notice]), in_order(F.col("own"), F.col("tw")) / F.size("tw")).otherwise(0.0)
+    spans = spans.select("doc", "th", "t", "label", "base", "diagonal", F.col("start").cast("long").alias("start"), (F.col("start") + F.size("own")).cast("long").alias("end"), coverage.alias("coverage"))
+    spans = cut(spans.filter(F.when(F.col("t").isin([n for n, t in enumerate(templates) if t.notice]), F.col("coverage") >= COVERAGE).otherwise(F.col("coverage") == 1.0)))
+    # of a notice's spans near one another the one that fits best: most words, shortest, first
+    fit = F.struct("coverage", (F.col("start") - F.col("end")).alias("_short"), (-F.col("diagonal")).alias("_first"))
+    spans = spans.withColumn("fit", fit)
+    of_notice = Window.partitionBy("doc", "th", "t").orderBy("diagonal").rangeBetween(-most, most)
+    spans = spans.withColumn("best", F.max("fit").over(of_notice)).filter(F.col("t").isin([n for n, t in enumerate(templates) if not t.notice]) | (F.col("fit") == F.col("best")))
     # "cc by" says nothing where it is a part of "cc by nc"
-    wider = lambda o, s: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    spans = spans.withColumn("spans", F.filter("spans", lambda s: s["base"] | ~F.exists("spans", lambda o: wider(o, s))))
-
-    base = F.filter("spans", lambda s: s["base"])
+    by = Window.partitionBy("doc", "th").orderBy("start")
+    earlier, same = F.max("end").over(by.rangeBetween(Window.unboundedPreceding, -1)), F.max("end").over(by.rangeBetween(0, 0))
+    spans = spans.withColumn("within", F.coalesce(earlier >= F.col("end"), F.lit(False)) | (same > F.col("end"))).filter("base OR NOT within")
+
+    names = lambda of: F.array_join(F.array_sort(F.collect_set(of)), ",")
+    base_start = F.when(F.col("base"), F.col("start"))
+    spans = spans.groupBy(F.col("doc").alias("d2"), F.col("th").alias("t2")).agg(
+        F.count(base_start).alias("n_base"), F.min(base_start).alias("first_word"), F.max(base_start).alias("last_word"), names(F.when(F.col("base"), F.col("label"))).alias("base_labels"),
+        names(F.col("label")).alias("labels"), F.max("coverage").alias("score"), F.array_sort(F.collect_list(F.struct("start", "end", "label", "base", "coverage"))).alias("spans"),
+    )
     none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,end:bigint,coverage:double>>")
-    out = hashed.select("doc", "th", F.size("h").cast("long").alias("n_words")).join(spans, same_document("d2", "t2"), "left")
-    out = out.withColumn("spans", F.coalesce(F.transform("spans", lambda s: F.struct(*(s[c].alias(c) for c in ("label", "base", "start", "end", "coverage")))), none))
-    names = lambda s: F.array_join(F.array_sort(F.array_distinct(F.transform(s, lambda x: x["label"]))), ",")
-    starts = F.transform(base, lambda s: s["start"])
+    out = rows.select("doc", "th", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(spans, same_document("d2", "t2"), "left")
     return out.select(
-        F.col("doc").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        names(base).alias("base_labels"), names(F.col("spans")).alias("labels"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"), "spans",
+        F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce(F.transform("spans", lambda s: F.struct(*(s[c].alias(c) for c in ("label", "base", "start", "end", "coverage")))), none).alias("spans"),
     )

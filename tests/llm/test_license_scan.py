@@ -40,6 +40,54 @@ def test_edges(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+APACHE = "you may not use this file except in compliance with the license you may obtain a copy of the license at"
+
+
+def common(a, b):
+    """The longest common subsequence, for brute force."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_notices_stand_in_order(spark):
+    w = APACHE.split()
+    rng = __import__("random").Random(5)
+    texts = {
+        1: APACHE,
+        2: "a copy of the license at obtain compliance with except in the license you may obtain",  # its words, not in order
+        3: " ".join(w[10:] + w[:10]),
+        4: " ".join(x for k, x in enumerate(w) if k not in (5, 15)),
+        5: " ".join([*w[:9], "all", "of", *w[9:]]),
+        6: " ".join("other" if k in (4, 9) else x for k, x in enumerate(w)),
+        7: " ".join("other" if k % 3 == 1 else x for k, x in enumerate(w)),
+        8: f"{APACHE} {APACHE} and {APACHE}",
+        9: " ".join(rng.sample(w, len(w))),
+        10: " x ".join(w),
+        11: " ".join(["license you may obtain"] * 4000),
+    }
+    rows = [(k, f"before this {t} after that") for k, t in texts.items()]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, r in got.items():
+        found = [s for s in r.spans if s.label == "apache"]
+        own = dict(rows)[k].split()
+        assert bool(found) == (k in (1, 4, 5, 6, 8)), k
+        for s in found:
+            assert s.coverage == common(own[s.start : s.end], w) / len(w) and s.end - s.start <= 1.25 * len(w)
+    assert (got[1].spans[0].start, got[1].spans[0].end, got[1].score) == (2, 2 + len(w), 1.0)
+    assert [s.start for s in got[8].spans] == [2, 2 + len(w), 3 + 2 * len(w)]
+
+
+def test_very_long_text(spark):
+    rows = [(1, "mit license " * 60000 + "general public license")]
+    r = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (120003, 60001, 0, 120000, "gpl,mit")
+
+
 def test_repeated_rows_with_phrases(spark):
     text = f"The MIT License, GNU General Public License. {NOTICE} 2 clause BSD"
     want = license_scan.scan(spark.createDataFrame([(3, text)], "doc_id long, text string")).first()
