@@ -1,9 +1,12 @@
 import itertools
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from helpers import documents
+from pyspark.sql import functions as F
 
 from tessera.llm import resharding
 from tessera.llm.queries import op4_resharding
@@ -56,7 +59,74 @@ def test_edges_and_rewrite(spark):
     assert plan.count() == 250 and plan.select("shard", "slot").distinct().count() == 250
     first, again = (sorted(map(tuple, resharding.reshard(x, 4, 5).fillna(-1).collect())) for x in (df, df.repartition(7)))
     assert first == again
-    folder = scratch(spark)
-    written = resharding.rewrite(df.drop("shard"), plan, folder, 4)
-    assert spark.read.parquet(folder).count() == plan.filter(plan["shard"].isin(written)).count()
     assert resharding.reshard(df.limit(0), 4, 5).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sparse_flow_moves_as_little(seed):
+    rng = random.Random(seed)
+    supply = [rng.randrange(0, 50) for _ in range(rng.randrange(1, 9))]
+    capacity = resharding.even(sum(supply) + rng.randrange(3), rng.randrange(1, 9))
+    flows = resharding.fewest_moved(supply, capacity)
+    full = resharding.min_cost_flow(supply, capacity, [[int(i != j) for j in range(len(capacity))] for i in range(len(supply))])
+    assert [sum(a for (i, _), a in flows.items() if i == k) for k in range(len(supply))] == supply
+    assert all(sum(a for (_, j), a in flows.items() if j == k) <= c for k, c in enumerate(capacity))
+    assert sum(a for (i, j), a in flows.items() if i != j) == sum(a for (i, j), a in full.items() if i != j)
+    with pytest.raises(ValueError):
+        resharding.fewest_moved([5], [4])
+
+
+def test_flow_over_many_shards():
+    rng = random.Random(1)
+    supply = [rng.randrange(10**9) for _ in range(1000)]
+    flows = resharding.fewest_moved(supply, resharding.even(sum(supply), 1100))
+    assert sum(flows.values()) == sum(supply) and len(flows) <= 3200
+
+
+def files_of(base):
+    root = Path(base.removeprefix("file:"))
+    return {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*.parquet") if "manifests" not in str(p)}
+
+
+def test_rewrite_keeps_rows_and_untouched_files(spark):
+    rows = [(k // 2, f"text {k // 2} " * (k % 9), f"source {k}", None if k % 5 else k, "s" * (k % 3)) for k in range(400)]
+    rows += [(None, None, None, None, None)] * 30 + [(7, "same", "x", 1, "y")] * 50
+    schema = "doc_id long, text string, source string, size int, shard string"
+    df = spark.createDataFrame(rows, schema)
+    base = scratch(spark)
+    assert resharding.read_shards(spark, base, df.schema).count() == 0
+    assert resharding.rewrite(df, base, 6, file_bytes=4000) == list(range(6))
+    first = resharding.read_shards(spark, base, df.schema)
+    assert Counter(tuple(r)[:5] for r in first.collect()) == Counter(rows)
+    pdf = first.toPandas()
+    by = pdf.groupby("__shard")["__slot"]
+    assert (by.max() + 1 == by.size()).all() and (by.nunique() == by.size()).all()
+    before = files_of(base)
+
+    assert resharding.rewrite(first, base, 6, F.col("__shard"), 6, slack=1000) == []  # nothing moves
+    more = first.unionByName(spark.createDataFrame([(1000 + k, "new " * 300, "z", 0, "", None, 5) for k in range(6)], first.schema))
+    resharding.rewrite(more, base, 6, F.col("__shard"), 6)
+    assert before.items() <= files_of(base).items()  # no file is changed
+    second = resharding.read_shards(spark, base, df.schema)
+    assert Counter(tuple(r)[:5] for r in second.collect()) == Counter(tuple(r)[:5] for r in more.collect())
+
+    written = resharding.rewrite(second, base, 8, F.col("__shard"), 6)
+    third = resharding.read_shards(spark, base, df.schema)
+    assert {6, 7} <= set(written) and third.select("__shard").distinct().count() == 8
+    assert Counter(tuple(r)[:5] for r in third.collect()) == Counter(tuple(r)[:5] for r in more.collect())
+    assert resharding.rewrite(third, base, 2, F.col("__shard"), 8) == [0, 1]
+    assert Counter(tuple(r)[:5] for r in resharding.read_shards(spark, base, df.schema).collect()) == Counter(tuple(r)[:5] for r in more.collect())
+
+
+def test_untouched_shards_keep_their_files(spark):
+    df = spark.range(400).selectExpr("id AS doc_id", "repeat('x', 84) AS text")
+    base = scratch(spark)
+    resharding.rewrite(df, base, 4)
+    now = resharding.read_shards(spark, base, df.schema)
+    before = files_of(base)
+    fewer = now.filter("__shard <> 2 OR __slot >= 30")  # thirty rows are gone from a shard: others give it theirs
+    assert resharding.rewrite(fewer, base, 4, F.col("__shard"), 4, slack=750) == [2]
+    assert resharding.rewrite(fewer, base, 4, F.col("__shard"), 4) == [0, 1, 2, 3]
+    assert before.items() <= files_of(base).items()
+    after = resharding.read_shards(spark, base, df.schema)
+    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(r[0] for r in fewer.select("doc_id").collect())
