@@ -5,9 +5,12 @@ tokenizations. At the start one state loops on every symbol. The gadget of a rul
 leads to, gives u a copy of q without its v arc, and adds an arc uv, from wherever u could be read, to the state that v
 leads to. All arcs with one label lead to one state, so a state has its parent, the label that its gadget deleted and
 the time of that gadget; the arcs of a state are those of its parent without the deleted one, and an added arc uv
-exists where u existed at that time. A run is encoded by reading its symbols with a trie and taking, at each place,
-the longest label that the present state has an arc for, stepping back where no arc continues; the accepted path is
-unique. Decoding emits the labels of the arcs.
+exists where u existed at that time. A state's row of the transition table says, for each label met, which state its arc
+leads to, or that it has none; rows are filled from the gadgets as words are read and kept.
+
+A word is encoded by the table, place by place: the labels that end at a place are found by a trie of their ends, and the
+one whose arc the state at its beginning has is taken. Paths of the automaton are unique and each beginning of one is one,
+so every place has one state, and no step is undone. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -70,7 +73,8 @@ class Automaton:
         self.left, self.right, self.born = [-1] * n_tokens, [-1] * n_tokens, [-1] * n_tokens
         self.parent, self.deleted, self.time = [-1], [-1], [-1]
         self.gadget: dict[int, int] = {}  # (owner label, deleted label) -> time: the deletions along a state's parents
-        self.table: dict[int, bool] = {}
+        self.rows: dict[int, dict[int, int]] = {}  # the transition table, as far as it was needed
+        self.filled = 0
         self.made = [True] * n_tokens
         for _, _, uv in merges:
             if not self.made[uv]:
@@ -89,15 +93,17 @@ class Automaton:
             self.left[uv], self.right[uv], self.born[uv] = u, v, time
             self.gadget[u << 20 | v] = time
 
-    def arc(self, last: int, token: int) -> bool:
-        """Whether the state that ``last`` leads to has an arc ``token``."""
-        key = last << 20 | token
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > 2 * CACHED:
-                self.table.clear()
-            known = self.table[key] = self._arc(last, token)
-        return known
+    def row(self, state: int) -> dict[int, int]:
+        """Transitions of a state that are filled in: label -> state, or -1 for none."""
+        if self.filled > 4 * CACHED:
+            self.rows, self.filled = {}, 0
+        return self.rows.setdefault(state, {})
+
+    def fill(self, row: dict[int, int], last: int, token: int) -> int:
+        """The transition by ``token`` from the state that ``last`` leads to; -1: from the start, where every label has an arc."""
+        self.filled += 1
+        row[token] = to = self.state[token] if last < 0 or self._arc(last, token) else -1
+        return to
 
     def _arc(self, last: int, token: int) -> bool:
         left, right, born, gadget = self.left, self.right, self.born, self.gadget
@@ -136,6 +142,10 @@ class Codec:
 
     def __init__(self, path: str, cached: int = CACHED):
         spec = json.loads(open(path, encoding="utf-8").read())  # a driver- and worker-local vocabulary file
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        if set(steps) - {"NFC", "Replace", "Lowercase"} or spec["decoder"] is not None:
+            raise ValueError("a normalizer or decoder that isn't known")
+        self.nfc, self.lower = "NFC" in steps, "Lowercase" in steps  # what Replace makes one space ends a run of letters anyway
         vocab, self.suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -153,7 +163,7 @@ class Codec:
         labels = {t: i for t, i in vocab.items() if self.automaton.made[i]}
         self.final = {t[:-end]: i for t, i in labels.items() if t.endswith(self.suffix)}
         self.inner = {t: i for t, i in labels.items() if not t.endswith(self.suffix)}
-        self.prefix = {t[:k] for t in [*self.final, *self.inner] for k in range(1, len(t) + 1)}
+        self.ends = {t[k:] for t in [*self.final, *self.inner] for k in range(len(t))}
         self.spaced = [f" {t}" for t in self.label]
         self.word = Recent(lambda w: array("I", self._path(w)).tobytes(), cached)
         self.chunk = Recent(self._chunk, cached)
@@ -161,33 +171,38 @@ class Codec:
     def _path(self, word: str) -> list[int]:
         """The automaton's accepted path for one word."""
         text = "".join([self.letters[b] for b in word.encode()])
-        n, inner, final, prefix, arc = len(text), self.inner, self.final, self.prefix, self.automaton.arc
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[tuple[int, int]] = set()
-        at, most = 0, n
-        while at < n:
-            found, ends = [], at + 1  # labels that begin here, by the trie's prefixes
-            while ends <= most and (piece := text[at:ends]) in prefix:
-                token = final.get(piece) if ends == n else inner.get(piece)
+        n, ends, row, fill = len(text), self.ends, self.automaton.row, self.automaton.fill
+        rows, last, came = [row(-1)], [-1], [0]  # of each place: its state's transitions, the label that led there, and from where
+        labels = self.inner
+        for end in range(1, n + 1):
+            if end == n:
+                labels = self.final
+            for begin in range(end - 1, -1, -1):
+                piece = text[begin:end]
+                if piece not in ends:  # a place without a path: no label ends so
+                    raise ValueError("no path: the vocabulary lacks a byte")
+                token = labels.get(piece)
                 if token is not None:
-                    found.append((ends, token))
-                ends += 1
-            for got in reversed(found):
-                if (not path or arc(path[-1], got[1])) and got not in dead:
-                    break
-            else:  # no arc continues: step back to a shorter label
-                dead.add((at, path.pop()))
-                most, at = at - 1, starts.pop()
-                continue
-            path.append(got[1])
-            starts.append(at)
-            at, most = got[0], n
-        return path
+                    known = rows[begin]
+                    to = known.get(token)
+                    if to is None:
+                        to = fill(known, last[begin], token)
+                    if to >= 0:
+                        break
+            rows.append(row(to))
+            last.append(token)
+            came.append(begin)
+        path, at = [], n
+        while at:
+            path.append(last[at])
+            at = came[at]
+        return path[::-1]
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space or special tokens."""
-        text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        text = chunk if chunk.isascii() or not self.nfc else unicodedata.normalize("NFC", chunk)
+        if self.lower:
+            text = text.replace("Σ", "σ").lower()
         if text.isalpha():  # all letters: one word of the pattern
             return self.word[text]
         if text[-1] in ",.!?;:" and text[:-1].isalpha():

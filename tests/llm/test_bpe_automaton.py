@@ -67,7 +67,7 @@ def test_arcs_are_the_merges_own():
     def paths(word, last=None):
         if not word:
             return [[]]
-        return [[n, *p] for n in names if word.startswith(n) and auto.made[ids[n]] and (last is None or auto.arc(ids[last], ids[n])) for p in paths(word[len(n) :], n)]
+        return [[n, *p] for n in names if word.startswith(n) and auto.made[ids[n]] and (last is None or auto.fill({}, ids[last], ids[n]) >= 0) for p in paths(word[len(n) :], n)]
 
     for size in range(1, 9):
         for k in range(1 << size):
