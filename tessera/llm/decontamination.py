@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A window of a document is as long as a benchmark item and begins where the item would if one of their common shingles
-stood in its place. Windows that could be similar enough get a SimHash fingerprint, as the items do. Items are entered in
-tables of fingerprint blocks under all values within a block's share of the radius, so a look-up of a window's blocks
-finds every item within the radius (pigeonhole). Found pairs are verified by the weighted similarity of their shingles:
-sum of smaller counts over sum of larger counts.
+A window of a document is as long as a benchmark item and begins where an item would if a shingle that both have stood in
+its place: one common shingle is enough, and a window without any can't be similar to an item. Every such window gets a
+SimHash fingerprint, as the items do. Items are entered in tables of fingerprint blocks under all values within a block's
+share of the radius, so a look-up of a window's blocks finds every item of its size within the radius (pigeonhole),
+whichever item the shingle was of. Found pairs are verified by the weighted similarity of their shingles: sum of smaller
+counts over sum of larger counts.
 """
 
 from __future__ import annotations
@@ -53,8 +54,9 @@ def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(doc, th, item, similarity) of documents (doc, th, text) and the items that they hold a similar window of.
 
-    Items without words match nothing; an item shorter than a shingle is one shingle. A document shorter than an item is
-    one window. The best window of a pair counts.
+    Items without words or with a null id match nothing; an item shorter than a shingle is one shingle. A document
+    shorter than an item is one window. The best window of a pair counts. A shingle is looked up by the sizes of its
+    items and its places in them, not by item, so one that most items have makes no more rows than there are such.
     """
     items = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("h")).filter((F.size("h") > 0) & F.col("item").isNotNull())
     items = items.withColumn("size", F.size("h")).withColumn("k", F.least("size", F.lit(shingle)))
@@ -62,17 +64,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", item_t
     out = None
     for k in sorted(r[0] for r in items.select("k").distinct().collect()):  # at most ``shingle`` values
         own = cut(items.filter(F.col("k") == k).select("item", "size", F.col("h")).select("item", "size", F.expr(f"size - {k} + 1").alias("m"), rolling("h", k).alias("g")).withColumn("g", F.expr("slice(g, 1, m)")))
-        places = own.select("item", "size", "m", F.posexplode("g").alias("at", "gram"))
+        places = cut(own.select("size", "m", F.posexplode("g").alias("at", "gram")).distinct())
         grams = hashed.select("doc", "th", F.size("h").alias("n"), F.posexplode(rolling("h", k)).alias("p", "gram")).filter(F.col("p") + k <= F.col("n"))
-        hits = grams.join(sized(places), "gram")
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("size")))
-        # a window as similar as asked for has so many of an item's shingles
-        pairs = hits.groupBy("doc", "th", "item", "size", "m").agg(F.count("*").alias("c"), F.collect_set(start).alias("starts")).filter(F.col("c") >= F.ceil(F.col("m") * similarity - 1e-9))
-        starts = cut(pairs.select("doc", "th", "size", "m", F.explode("starts").alias("start")).distinct())
-        some = keep_keys(docs, starts.select("th").distinct(), "th").dropDuplicates(["doc", "th"])
+        starts = cut(grams.join(sized(places), "gram").select("doc", "th", "size", "m", start.alias("start")).distinct())
+        starts = starts.groupBy("doc", "th").agg(F.collect_list(F.struct("size", "m", "start")).alias("s")).withColumnsRenamed({"doc": "d2", "th": "t2"})  # a document has fewer than words times sizes
+        some = keep_keys(docs, starts.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
         some = some.select("doc", "th", word_hashes(F.col("text")).alias("h")).select("doc", "th", F.size("h").alias("n"), rolling("h", k).alias("g"))
-        joined = starts.withColumnsRenamed({"doc": "d2", "th": "t2"}).join(some, same_document("d2", "t2"))
-        windows = joined.select("doc", "th", "size", "start", F.expr(f"slice(g, start + 1, greatest(0, least(m, n - {k} + 1 - start)))").alias("g")).filter("size(g) > 0")
+        joined = some.join(starts, same_document("d2", "t2"))  # a text's shingles travel once, however many windows it has
+        window = F.transform("s", lambda x: F.struct(x["size"].alias("size"), x["start"].alias("start"), F.slice("g", x["start"] + 1, F.greatest(F.lit(0), F.least(x["m"], F.col("n") - k + 1 - x["start"]))).alias("g")))
+        windows = joined.select("doc", "th", F.explode(window).alias("x")).select("doc", "th", "x.*").filter("size(g) > 0")
         windows = cut(windows.select("doc", "th", F.struct("doc", "th", "start", "size").alias("w"), "size", "g", simhash(F.col("g")).alias("fp")))
         found = within_radius(windows, own.select("item", "size", simhash(F.col("g")).alias("ifp")))
         counts = lambda df, by, name: df.select(*by, F.explode("g").alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias(name))

@@ -58,6 +58,16 @@ def test_edited_passages(spark):
     assert none.count() == len(rows) and none.filter("contaminated").count() == 0
 
 
+def test_a_shingle_of_one_item_finds_the_others(spark):
+    """Items of one size that begin alike: each is found wherever any of their shingles stands."""
+    items = [(k, " ".join(["how", "many", "of", "these", "are", "there", *(f"i{k}w{j}" for j in range(30))])) for k in range(50)]
+    rows = [(1, "x " * 7 + items[3][1] + " y" * 9), (2, items[7][1].replace("how many", "how few")), (3, "how many of these are there " * 400), (4, " ".join(items[k][1] for k in range(20, 40)))]
+    want = brute(rows, items)
+    got = {r.doc_id: r for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {d: (r.n_items, r.best_item) for d, r in got.items()} == {d: (len(w), min(w, key=lambda i: (-w[i], i)) if w else None) for d, w in want.items()}
+    assert set(want[1]) == {3} and set(want[2]) == {7} and not want[3] and len(want[4]) == 20
+
+
 def test_all_fingerprints_within_the_radius(spark):
     import random
 
