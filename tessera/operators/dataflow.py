@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,20 @@ def map_udf(function: Callable[[pd.Series], pd.Series], returns: str) -> Callabl
     return F.pandas_udf(function, returns)
 
 
+def task_results(df: DataFrame, task: Callable[[Iterator[pd.DataFrame]], object], kind: str) -> DataFrame:
+    """(partition int, result ``kind``, error string): what a task made of each partition, or how it failed; a failure of one doesn't end the others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId()
+        try:
+            result, error = task(batches), None
+        except Exception as e:  # the task's own, whatever it is
+            result, error = None, f"{type(e).__name__}: {e}"
+        yield pd.DataFrame({"partition": [number], "result": pd.Series([result], dtype=object), "error": [error]})
+
+    return df.mapInPandas(run, f"partition int, result {kind}, error string")
+
+
 def map_partitions(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """A computation over a partition's batches."""
     return df.mapInPandas(function, schema)

@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, Lo
 
 from tessera.functions.scalar import trim_controls
 from tessera.operators.dataflow import key_range, project, project_with_key
+from tessera.operators.index import Index, entries_of
 from tessera.session import exists
 
 #: The closed list of column types, with the Python class that a value must have.
@@ -122,6 +123,14 @@ class KeyedTable:
         found = key_range(self.frame(), self.schema.key, start, end, end_inclusive).orderBy(self.schema.key)
         return project_with_key(found, self.schema.key, columns) if with_key else project(found, columns)
 
+    def create_index(self, path: str, column: str) -> Index:
+        """An index of the rows so far, from a column's values to keys, in key order; null values aren't indexed."""
+        if column not in {x.name for x in self.schema.columns}:
+            raise ValueError(f"unknown columns: {[column]}")
+        index = Index(self.spark, path)
+        index.build_from(entries_of(self.frame().orderBy(self.schema.key), F.col(column), F.col(self.schema.key), F.monotonically_increasing_id()))
+        return index
+
     def delete(self, key: object) -> bool:
         """False if there is no such key; rows can't be deleted."""
         if self.find(key).isEmpty():

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 C_TABLE = TableSchema("c_name", (ColumnDef("c_custkey", "LONG", True), ColumnDef("c_name", "STRING", True), ColumnDef("c_nationkey", "INTEGER"), ColumnDef("c_acctbal", "DOUBLE"), ColumnDef("c_mktsegment", "STRING")))
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> KeyedTable:
+def _append_customers(spark: SparkSession, sf_dir: str) -> KeyedTable:
     """The customer table as a keyed table, appended in three batches."""
     t = KeyedTable(spark, "customer", C_TABLE, scratch(spark))
     for k in range(3):
@@ -46,6 +50,17 @@ def _customers(spark: SparkSession, sf_dir: str) -> KeyedTable:
     return t
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """The keyed customer table, written once in an application, so that queries that read it do just that."""
+    own = spark.sparkContext.applicationId, sf_dir
+    if own not in _WRITTEN:
+        _WRITTEN[own] = _append_customers(spark, sf_dir).path
+    return KeyedTable(spark, "customer", C_TABLE, _WRITTEN[own])
+
+
 # sources
 
 
@@ -55,6 +70,13 @@ def parallelize_filter_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.mapped(df.filter(F.col("i") % 2 == 0), v=F.col("i").cast("string"))
 
 
+@query("SELECT CAST(i AS BIGINT) AS v, CAST((i - 1) // 3 AS INTEGER) AS slice, CAST((i - 1) % 3 AS BIGINT) AS place FROM range(1, 9) t(i)")
+def parallelize_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight values in three slices: contiguous, in order within each."""
+    df = files.rows(spark, [(i,) for i in range(1, 9)], "v long", slices=3).select("v", F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("at"))
+    return df.select("v", "slice", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+
+
 @query("SELECT * FROM nation")
 def parquet_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parquet(spark, f"{sf_dir}/nation.parquet")
@@ -84,6 +106,16 @@ def csv_exact_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.col("fields")[0].cast("long").alias("c_custkey"), F.col("fields")[1].alias("c_name"), F.upper(F.col("fields")[3]).alias("segment"))
 
 
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation UNION ALL SELECT 'key', 'name' FROM nation WHERE n_regionkey = 1")
+def csv_header_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file has a header, and some lines that say the same: those are data."""
+    n, path = table(spark, sf_dir, "nation"), scratch(spark)
+    lines = n.select(F.concat_ws(",", "n_nationkey", "n_name").alias("v"), F.col("n_regionkey").alias("at")).unionByName(n.filter("n_regionkey = 1").select(F.lit("key,name").alias("v"), F.col("n_nationkey").alias("at")))
+    lines.withColumnRenamed("v", "key,name").repartitionByRange(3, "at").select("key,name").write.option("header", True).option("quote", "").csv(path)
+    f = files.csv_exact(spark, path, header=True)
+    return f.select(F.col("fields")[0].alias("key"), F.col("fields")[1].alias("name"))
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), scratch(spark)
@@ -131,28 +163,36 @@ def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey AS n, n_name AS name FROM nation")
 def custom_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's storage: written by partitions, read back by its own splits."""
-    folder = scratch(spark).removeprefix("file:")
+    folder = scratch(spark)
+    folder = folder if ":" in folder else f"file://{folder}"
 
-    def write(rows: Iterator, options: dict) -> str:
-        import os
-        import uuid
+    def at(folder: str) -> tuple[pa.fs.FileSystem, str]:
+        """The shared folder, in whichever store it is."""
+        scheme, _, path = folder.partition(":")
+        return pa.fs.FileSystem.from_uri(f"{scheme}://{path}" if scheme == "file" and not path.startswith("//") else folder)
 
-        os.makedirs(options["folder"], exist_ok=True)
-        path = os.path.join(options["folder"], uuid.uuid4().hex)
-        with open(path, "w", encoding="utf-8") as f:
-            f.writelines(f"{r[0]}\t{r[1]}\n" for r in rows)
-        return path
-
-    def commit(paths: list, options: dict) -> None:
-        with open(f"{options['folder']}/_manifest", "w", encoding="utf-8") as f:
-            f.writelines(f"{p}\n" for p in paths)
+    def write(rows: Iterator, options: dict) -> str:
+        fs, path = at(options["folder"])
+        fs.create_dir(path)
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{path}/{name}") as f:
+            for r in rows:
+                f.write(f"{r[0]}\t{r[1]}\n".encode())
+        return name
+
+    def commit(names: list, options: dict) -> None:
+        fs, path = at(options["folder"])
+        with fs.open_output_stream(f"{path}/_manifest") as f:
+            f.write("\n".join(names).encode())
 
     def splits(options: dict) -> list[str]:
-        return open(f"{options['folder']}/_manifest", encoding="utf-8").read().split()
+        fs, path = at(options["folder"])
+        return fs.open_input_stream(f"{path}/_manifest").read().decode().split()
 
-    def read(path: str, options: dict) -> Iterator[tuple]:
-        for line in open(path, encoding="utf-8"):
-            n, name = line.rstrip("\n").split("\t")
+    def read(name: str, options: dict) -> Iterator[tuple]:
+        fs, path = at(options["folder"])
+        for line in fs.open_input_stream(f"{path}/{name}").read().decode().splitlines():
+            n, name = line.split("\t")
             yield int(n), name
 
     spark.dataSource.register(files.custom_format("manifest", "n int, name string", splits, read, write, commit))
@@ -227,6 +267,20 @@ def map_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.map_partitions(table(spark, sf_dir, "nation"), lower, "n_nationkey int, name string")
 
 
+@query("""SELECT i::INTEGER AS partition, CASE WHEN i < 2 THEN (SELECT sum(n_regionkey) FROM nation WHERE n_nationkey % 3 = i)::VARCHAR END AS result, CASE WHEN i = 2 THEN 'ValueError: no such task' END AS error FROM range(0, 3) t(i)""")
+def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task for each partition with a result of its own; the last one fails."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> str:
+        whole = pd.concat(batches)
+        if (whole["n_nationkey"] % 3 == 2).any():
+            raise ValueError("no such task")
+        return str(whole["n_regionkey"].sum())
+
+    dealt = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").repartitionById(3, F.col("n_nationkey") % 3)
+    return dataflow.task_results(dealt, task, "string")
+
+
 # keyed tables
 
 
@@ -258,7 +312,12 @@ def range_open_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def batch_insert_union_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).scan()
+    return _append_customers(spark, sf_dir).scan()
+
+
+@query("SELECT c_name AS value FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def table_create_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir).create_index(scratch(spark), "c_mktsegment").find("MACHINERY")
 
 
 @query("""SELECT * FROM (VALUES ('1', ''), ('', 'id: blank key'), (' ', 'id: blank key'), (NULL, 'id: blank key, id: required'), ('5', 'name: required'), ('6', 'email: required')) t(id, errors)""")
@@ -290,18 +349,21 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pruned reads and footers
 
 
-@query("SELECT * FROM (VALUES ('equal', 1::BIGINT, 1::BIGINT), ('range', 2, 301), ('absent', 0, 0)) t(bound, kept, found)")
+@query("""SELECT 'equal' AS bound, count(DISTINCT (c_custkey - 1) // 50) AS kept, count(*) AS found FROM customer WHERE c_name = 'Customer#000000077'
+UNION ALL SELECT 'range', count(DISTINCT (c_custkey - 1) // 50), count(*) FROM customer WHERE c_custkey BETWEEN 40 AND 140
+UNION ALL SELECT 'absent', count(DISTINCT (c_custkey - 1) // 50), count(*) FROM customer WHERE c_custkey > 10000000""")
 def row_group_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row groups that statistics leave, of 1500 rows in three row groups, and the rows that match."""
+    """Row groups of the customer table, fifty keys each, that statistics leave, and the rows that match."""
     path = scratch(spark)
-    spark.range(1, 1501, 1, 1).select(F.col("id").alias("c_custkey"), scalar.numbered("Customer#", F.col("id"), 9).alias("c_name")).write.option("maxRecordsPerFile", 500).parquet(path)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.expr("(c_custkey - 1) div 50").alias("g"))
+    c.repartitionByRange("g").sortWithinPartitions("g", "c_custkey").write.partitionBy("g").parquet(path)
     stats = parquet_stats.footers(spark, path)
-    key, low, high = F.lit("Customer#000000077"), F.lit(400), F.lit(700)
+    key, low, high = F.lit("Customer#000000077"), F.lit(40), F.lit(140)
     equal = parquet_stats.may_hold(stats, "c_name", low=key, high=key, kind="string").agg(F.lit("equal").alias("bound"), F.count("*").alias("kept"))
     ranged = parquet_stats.may_hold(stats, "c_custkey", low=low, high=high, kind="long").agg(F.lit("range").alias("bound"), F.count("*").alias("kept"))
     absent = parquet_stats.may_hold(stats, "c_custkey", above=F.lit(10_000_000), kind="long").agg(F.lit("absent").alias("bound"), F.count("*").alias("kept"))
     written = spark.read.parquet(path)
-    found = written.agg(F.count_if(F.col("c_name") == key).alias("equal"), F.count_if(F.col("c_custkey").between(400, 700)).alias("range"), F.lit(0).cast("long").alias("absent")).unpivot([], ["equal", "range", "absent"], "bound", "found")
+    found = written.agg(F.count_if(F.col("c_name") == key).alias("equal"), F.count_if(F.col("c_custkey").between(low, high)).alias("range"), F.count_if(F.col("c_custkey") > 10_000_000).alias("absent")).unpivot([], ["equal", "range", "absent"], "bound", "found")
     return equal.union(ranged).union(absent).join(found, "bound")
 
 
@@ -436,6 +498,18 @@ def object_list_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_listing(*(found.filter(shard.isin(k, (k + 1) % 3)) for k in range(3)))
 
 
+@query("SELECT '_delta_log/' || n_nationkey || '.json' AS key, n_name AS name FROM nation UNION ALL SELECT * FROM (VALUES ('_x', 'x'), ('.y', 'y'), ('_z/.z/z', 'z'), ('k=1/_f', 'f')) t(key, name)")
+def object_scan_all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of names that Spark's own sources skip."""
+    store = ObjectStore(spark, scratch(spark))
+    for r in table(spark, sf_dir, "nation").collect():  # the 25 nations
+        store.put(f"_delta_log/{r['n_nationkey']}.json", r["n_name"].encode())
+    for key, name in (("_x", b"x"), (".y", b"y"), ("_z/.z/z", b"z"), ("k=1/_f", b"f"), ("_empty", b"")):
+        store.put(key, name)
+    assert store.scan("_delta_log/").count() == 25
+    return store.scan().select("key", F.decode("content", "UTF-8").alias("name"))
+
+
 @query("SELECT 'nation-' || n_nationkey AS key FROM nation WHERE n_nationkey >= 5")
 def object_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _nations(spark, sf_dir)
@@ -487,6 +561,26 @@ def log_append_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.replay(spark, store.base).select("version", "timestamp", "operation.op", "operation.path")
 
 
+@query("SELECT i::INTEGER AS version, 1::BIGINT AS writers, 7::BIGINT AS refused, 1::BIGINT AS entries FROM range(0, 4) t(i)")
+def log_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight writers of each version at once: one succeeds, and its entry is the one that is there."""
+    store = ObjectStore(spark, scratch(spark))
+
+    def write(job: tuple[int, int]) -> tuple[int, str | None]:
+        version, writer = job
+        try:
+            log.append(store, version, f'{{"version": {version}, "timestamp": {writer}, "operation": {{"op": "add", "path": "w{writer}"}}}}')
+        except FileExistsError:
+            return version, None
+        return version, f"w{writer}"
+
+    with ThreadPoolExecutor(8) as pool:
+        said = files.rows(spark, list(pool.map(write, [(v, w) for v in range(4) for w in range(8)])), "version int, path string")
+    counts = said.groupBy("version").agg(F.count("path").alias("writers"), F.count_if(F.col("path").isNull()).alias("refused"))
+    there = log.replay(spark, store.base).select("version", "operation.path").join(said, ["version", "path"]).groupBy("version").agg(F.count("*").alias("entries"))
+    return counts.join(there, "version")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'FURNITURE'")
 def partitioned_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)

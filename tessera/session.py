@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a local one where the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new folder that all executors see, under spark.checkpoint.dir; it goes when the application ends. Only a session on one machine may have no such setting: it gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = f"{(base or tempfile.gettempdir()).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    fs, path = file_system(spark, own)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{own}/scratch-{uuid.uuid4().hex}"
 
 
 def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:

@@ -9,13 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def rows(spark: SparkSession, values: Iterable, schema: StructType | str, slices: int | None = None) -> DataFrame:
-    """An in-memory collection; ``slices`` asks for so many partitions."""
-    df = spark.createDataFrame(list(values), schema)
-    return df.repartition(slices) if slices else df
+    """An in-memory collection; ``slices`` asks for so many partitions: contiguous chunks of equal size but for the last ones, order kept."""
+    values = list(values)
+    df = spark.createDataFrame(values, schema)
+    if not slices:
+        return df
+    whole = StructType([*df.schema.fields, StructField("__at", LongType())])
+    each = max(1, -(-len(values) // slices))
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(values)], whole)
+    return df.repartitionById(slices, F.floor(F.col("__at") / each).cast("int")).sortWithinPartitions("__at").drop("__at")
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str | None = None, delimiter: str = ",", header: bool = False, encoding: str = "UTF-8", escape: str = "\\") -> DataFrame:
@@ -46,17 +52,20 @@ def parse_line(line: str, delimiter: str = ",") -> list[str]:
 
 
 def csv_exact(spark: SparkSession, path: str, delimiter: str = ",", header: bool = False) -> DataFrame:
-    """(fields array<string>): every line by parse_line(), a blank one as an empty array. The header is each file's first line."""
+    """(fields array<string>): every line by parse_line(), a blank one as an empty array. The header is the line at each file's byte 0, whatever other lines say."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    if header:
-        first = {r[0]: r[1] for r in lines.filter("block = 0").groupBy("file").agg(F.first("value")).collect()}  # one row a file
-        lines = lines.filter(~F.coalesce(F.col("value") == F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("file")), F.lit(False))) if first else lines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # a task reads its blocks one after another, line by line
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([parse_line(x, delimiter) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["fields"])
-
-    return lines.select("value").mapInArrow(run, "fields array<string>")
+            out = []
+            for line, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not header or block == before or block[1]:
+                    out.append(parse_line(line, delimiter))
+                before = block
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["fields"])
+
+    return lines.mapInArrow(run, "fields array<string>")
 
 
 def csv_header(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> list[str] | None:

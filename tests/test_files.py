@@ -16,17 +16,40 @@ def write(path, name, text):
 
 
 def test_csv(spark, tmp_path):
-    p = write(tmp_path / "c", "x.csv", "1,John Doe,john@example.com,30,New York\n2,Jane Smith,jane@example.com,25,Los Angeles\n3,Bob Johnson,bob@example.com,35,Chicago\n4,Alice Brown,alice@example.com,28,Boston\n")
+    p = write(tmp_path / "c", "x.csv", "9,red kite,kite@birds,61,Wye Valley\n8,wren,wren@birds,10,Fair Isle\n7,barn owl,owl@birds,35,Fen\n")
     got = [tuple(r) for r in files.csv(spark, p).collect()]
-    assert len(got) == 4 and got[3] == ("4", "Alice Brown", "alice@example.com", "28", "Boston")
+    assert len(got) == 3 and got[1] == ("8", "wren", "wren@birds", "10", "Fair Isle")
     assert files.csv_header(spark, p, header=False) is None
 
 
 def test_tsv_with_header(spark, tmp_path):
-    p = write(tmp_path / "t", "x.tsv", "id\tname\temail\tage\tcity\n1\tJohn\tj@x\t30\tNew York\n2\tJane\tk@x\t25\tBoston\n")
-    assert files.csv_header(spark, p, "\t") == ["id", "name", "email", "age", "city"]
+    p = write(tmp_path / "t", "x.tsv", "ring\tbird\tspan\n9\tred kite\t61\n8\twren\t10\n")
+    assert files.csv_header(spark, p, "\t") == ["ring", "bird", "span"]
     assert files.csv(spark, p, delimiter="\t", header=True).count() == 2
-    assert [r.fields[1] for r in files.csv_exact(spark, p, "\t", header=True).collect()] == ["John", "Jane"]
+    assert [r.fields[1] for r in files.csv_exact(spark, p, "\t", header=True).collect()] == ["red kite", "wren"]
+
+
+def test_header_is_the_first_line_only(spark, tmp_path):
+    for k in range(5):
+        p = write(tmp_path / "h", f"{k}.csv", "ring,bird\n" + f"{k},wren\nring,bird\n" * (k % 3))
+    got = [tuple(r.fields) for r in files.csv_exact(spark, p, header=True).collect()]
+    assert sorted(got) == sorted(x for k in range(5) for x in [(str(k), "wren"), ("ring", "bird")] * (k % 3))
+    long = write(tmp_path / "l", "x.csv", "ring,bird\n" + "1,wren\n" * 40000)
+    small_blocks = {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in small_blocks}
+    try:
+        for k, v in small_blocks.items():
+            spark.conf.set(k, v)
+        assert files.csv_exact(spark, long, header=True).filter("fields[0] = '1'").count() == files.csv_exact(spark, long, header=True).count() == 40000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_slices(spark):
+    got = files.rows(spark, [(k,) for k in range(10)], "k int", slices=4).rdd.glom().collect()
+    assert [[r.k for r in part] for part in got] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9]]
+    assert files.rows(spark, [], "k int", slices=3).count() == 0
 
 
 def test_exact_csv_keeps_blank_lines(spark, tmp_path):
@@ -39,8 +62,8 @@ def test_json(spark, tmp_path):
     assert [tuple(r) for r in files.json_lines(spark, p, "id int, name string").collect()] == [(1, "a"), (2, "b"), (3, None)]
     tree = files.json_tree(spark, p).select(F.try_variant_get("value", "$.name", "string"))
     assert sorted(str(r[0]) for r in tree.collect()) == ["None", "a", "b"]
-    q = write(tmp_path / "a", "x.json", '[\n{"name": "Alice Brown", "city": "Boston"},\n{"name": "Charlie Wilson", "city": "Seattle"}\n]\n')
-    assert {tuple(r) for r in files.json_array(spark, q, "name string, city string").collect()} == {("Alice Brown", "Boston"), ("Charlie Wilson", "Seattle")}
+    q = write(tmp_path / "a", "x.json", '[\n{"bird": "barn owl", "place": "Fen"},\n{"bird": "wren", "place": "Fair Isle"}\n]\n')
+    assert {tuple(r) for r in files.json_array(spark, q, "bird string, place string").collect()} == {("barn owl", "Fen"), ("wren", "Fair Isle")}
 
 
 def test_custom_format_error_reaches_the_caller(spark):
@@ -117,19 +140,47 @@ def test_objects(spark):
 
 def test_object_scan(spark):
     store = ObjectStore(spark, scratch(spark))
-    people = ["John Doe:25", "Jane Smith:30", "Bob Johnson:35", "Alice Brown:28", "Charlie Wilson:42"]
-    for n, x in enumerate(people, 1):
-        store.put(f"customer-{n}", f"customer-{n}:{x}".encode())
-    store.put("customer-empty", b"")
+    birds = ["wren:10", "robin:14", "barn owl:35", "jay:34", "red kite:61"]
+    for n, x in enumerate(birds, 1):
+        store.put(f"ring-{n}", f"ring-{n}:{x}".encode())
+    store.put("ring-empty", b"")
     store.put("log-1", b"x")
-    found = store.scan("customer-", partitions=3)
+    found = store.scan("ring-", partitions=3)
     text = found.select(F.decode("content", "UTF-8").alias("t"))
-    assert {r[0] for r in text.select(F.split("t", ":")[1]).collect()} == {x.split(":")[0] for x in people}
-    assert sorted(r[0] for r in text.filter(F.split("t", ":")[2].cast("int") > 30).select(F.split("t", ":")[2]).collect()) == ["35", "42"]
+    assert {r[0] for r in text.select(F.split("t", ":")[1]).collect()} == {x.split(":")[0] for x in birds}
+    assert sorted(r[0] for r in text.filter(F.split("t", ":")[2].cast("int") > 34).select(F.split("t", ":")[2]).collect()) == ["35", "61"]
     keys = found.select("key")
     assert merged_listing(keys, keys.limit(2), keys).count() == 5
 
 
+def test_objects_are_replaced_whole(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = ObjectStore(spark, scratch(spark))
+    store.put("a", b"0" * 5000)
+    seen = set()
+
+    def work(n):
+        if n % 2:
+            store.put("a", str(n % 10).encode() * 5000)
+        else:
+            seen.add(store.get("a"))
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(work, range(60)))
+    assert all(len(x) == 5000 and len(set(x)) == 1 for x in seen) and store.list() == ["a"]
+
+
+def test_keys_that_spark_skips(spark):
+    store = ObjectStore(spark, scratch(spark))
+    keys = ["_a", ".b", "_c/d", "e/_f/g", "k=1/h", "_k=1/i", "j._COPYING_", "plain"]
+    for k in keys:
+        store.put(k, k.encode())
+    assert sorted((r.key, bytes(r.content).decode()) for r in store.scan().collect()) == sorted((k, k) for k in keys)
+    assert [r.key for r in store.scan("_c/").collect()] == ["_c/d"] and [r.key for r in store.scan("e/_f/").collect()] == ["e/_f/g"]
+    assert store.list("_") == ["_a", "_c/d", "_k=1/i"]
+
+
 def test_log(spark):
     store = ObjectStore(spark, scratch(spark))
     for v in (2, 0, 1):
@@ -144,8 +195,11 @@ def test_log(spark):
 
 def test_partitions(spark):
     path = scratch(spark)
-    df = spark.createDataFrame([(1, "New York"), (2, "a/b"), (3, "New York")], "id int, city string")
+    df = spark.createDataFrame([(1, "Fair Isle"), (2, "a/b"), (3, "Fair Isle"), (4, None)], "id int, city string")
     log.write_partitioned(df, path, "city")
-    found = log.read_partition(spark, path, F.col("city") == "New York")
-    assert sorted(r.id for r in found.collect()) == [1, 3]
+    found = log.read_partition(spark, path, F.col("city") == "Fair Isle")
+    assert sorted(r.id for r in found.collect()) == [1, 3] and spark.read.parquet(path).count() == 4
+    hot = scratch(spark)
+    log.write_partitioned(spark.range(1000).selectExpr("id", "IF(id < 900, 'x', 'y') AS city"), hot, "city", rows=100)
+    assert spark.read.parquet(hot).filter("city = 'x'").select(F.input_file_name()).distinct().count() > 3
     assert "PartitionFilters: [isnotnull(city" in found._jdf.queryExecution().executedPlan().toString()
