@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_automaton, decontamination, language_id, line_dedup, minhash_dedup
-from tessera.llm.common import cut_table, documents, table, without
+from tessera.llm.common import cut, cut_table, documents, same_document, sized, table, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose n-grams stand on average this far from every language's places are in none of them.
@@ -40,9 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = marks.filter("kept").groupBy("doc", "th").count().filter("count > 1").select("doc", "th")
     if twice.isEmpty():
         return rest.select(*COLUMNS)
-    # rows alike in id and text are in one class, too
-    keyed = documents(rest, "doc_id", "text", *(F.col(c) for c in ("lang", "source", "n_chars"))).dropDuplicates(["doc", "th"])
-    return keyed.select(F.col("doc").alias("doc_id"), "text", "lang", "source", "n_chars")
+    # of rows alike in id and text, which are in one class, too, the one with the smallest other columns
+    more = ["lang", "source", "n_chars"]
+    keyed = documents(rest, "doc_id", "text", *(F.col(c) for c in more))
+    twice = cut(twice.withColumnsRenamed({"doc": "d2", "th": "t2"}))
+    alike = keyed.join(twice, same_document("d2", "t2"), "left_semi").groupBy("doc", "th").agg(F.min(F.struct(*more, "text")).alias("x")).select("doc", "x.text", *(f"x.{c}" for c in more))
+    both = keyed.join(sized(twice), same_document("d2", "t2"), "left_anti").select("doc", "text", *more).unionByName(alike)
+    return both.withColumnRenamed("doc", "doc_id").select(*COLUMNS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
