@@ -62,18 +62,27 @@ def elements(hashes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     return np.sort(s)
 
 
-def signature(strips: np.ndarray, k: int = BANDS * BAND_ROWS) -> np.ndarray:
-    """The earliest dart of each of k coordinates; strips: at least one."""
-    reach = (k * log(k) + 2 * k) / len(strips)
+def signature(strips: np.ndarray, k: int = BANDS * BAND_ROWS, widths: np.ndarray | None = None) -> np.ndarray:
+    """The earliest dart of each of k coordinates; strips: at least one.
+
+    Strips are one wide. ``widths`` (over 0, to 1) makes some narrower, for weights that aren't whole numbers: a dart
+    that falls beyond a strip's width misses the region and doesn't count.
+    """
+    reach = (k * log(k) + 2 * k) / (len(strips) if widths is None else widths.sum())
     while True:
-        live, rank, nth, thrown = strips, np.zeros(len(strips)), 0, []
+        live, rank, nth, thrown, wide = strips, np.zeros(len(strips)), 0, [], widths
         while len(live):
             nth += 1
             dart = mixed(live + np.array([nth], np.uint64) * M2)
             rank = rank - np.log(((dart >> np.uint64(11)) + np.uint64(1)) * 2.0**-53)
             within = rank <= reach
             live, rank, dart = live[within], rank[within], dart[within]
-            thrown.append((rank, dart))
+            if wide is None:
+                thrown.append((rank, dart))
+            else:
+                wide = wide[within]
+                inside = (mixed(dart + M2) >> np.uint64(11)) * 2.0**-53 < wide
+                thrown.append((rank[inside], dart[inside]))
         rank, dart = np.concatenate([r for r, _ in thrown]), np.concatenate([d for _, d in thrown])
         late_first = np.argsort(-rank)
         out, hit = np.zeros(k, np.uint64), np.zeros(k, bool)

@@ -68,6 +68,13 @@ def test_a_shingle_of_one_item_finds_the_others(spark):
     assert set(want[1]) == {3} and set(want[2]) == {7} and not want[3] and len(want[4]) == 20
 
 
+def test_very_long_text(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, "some other words here now " * 60000 + item + " some other words here now" * 60000), (2, "w1 w2 w3 w4 w5 " * 30000)]
+    got = {r.doc_id: r for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert (got[1].n_items, got[1].best_item, got[1].best_similarity) == (1, 7, 1.0) and not got[2].contaminated
+
+
 def test_all_fingerprints_within_the_radius(spark):
     import random
 

@@ -109,3 +109,21 @@ def test_frames(spark):
     assert len(got) == 4 and {r.n_chars for r in got if r.page_id == 1} == {0}
     assert next(r for r in got if r.page_id is None).text == PROSE
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_made_pages(seed):
+    """Pages put together of known parts, with and without marks and an article element."""
+    import random
+
+    rng = random.Random(seed)
+    say = lambda least, most: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(least, most)))
+    menu = lambda: "".join(f"<li><a href='/{k}'>{say(1, 4)}</a></li>" for k in range(rng.randrange(3, 7)))
+    text = [say(4, 9), *(say(22, 70) for _ in range(rng.randrange(3, 8)))]
+    inner = f"<h1>{text[0]}</h1>" + "".join(f"<p>{p}</p>\n" for p in text[1:])
+    if rng.random() < 0.5:
+        parts = [f"<nav><ul>{menu()}</ul></nav>", f"<div class='promo'>{say(5, 40)}</div>", f"<p>{say(20, 40)}</p>", f"<article>{inner}<aside>{say(20, 40)}</aside></article>", f"<section id=comments><p>{say(20, 60)}</p></section>", f"<footer>{say(5, 20)}</footer>"]
+    else:
+        parts = [f"<ul>{menu()}</ul>", f"<div>{inner}</div>", f"<ul>{menu()}</ul>"]
+    script = rng.choice(["", "<script>for(i=0;i<9;i++){}</script>", "<style>p{}</style><!-- x -->"])
+    assert html_extract.main_text(f"<html><body>{script}{''.join(parts)}</body></html>") == "\n\n".join(text)

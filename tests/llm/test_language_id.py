@@ -16,6 +16,17 @@ def test_held_out_accuracy(spark, small):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_whole_table_by_plain_profiles(spark, small):
+    """Learning and predictions against plain Python."""
+    import plain
+
+    rows = [r.asDict() for r in documents(spark, small).collect()]
+    known = plain.profiles(rows)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in op6_language_id(spark, small).collect()}
+    want = {r["doc_id"]: plain.language(r["text"], known) for r in rows}
+    assert got == {d: (lang, round(score, 9)) for d, (lang, score) in want.items()}
+
+
 def brute_distance(text, profiles, lang):
     from collections import Counter
 

@@ -35,3 +35,9 @@ def test_many_sites_are_estimated(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("same\n"), "id").alias("text"), F.col("id").cast("string").alias("source"))
     assert line_dedup.dedup(df, sites=3000).agg(F.sum("n_removed")).first()[0] == 4999
     assert line_dedup.dedup(df, sites=5001).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_very_long_text(spark):
+    rows = [(k, "\n".join(f"line {j} of {k}" if j % 1000 else "the same everywhere" for j in range(60000 if k == 0 else 5)), f"s{k}") for k in range(12)]
+    got = {r.doc: (r.n_lines, r.n_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {k: (60000, 59) if k == 0 else (5, 1) for k in range(12)}

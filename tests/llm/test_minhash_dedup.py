@@ -61,6 +61,20 @@ def test_signatures_estimate_similarity():
     assert len(weighted) == sum(c.bit_length() for c in Counter(tuple(([1, 2, 3, 4, 5] * 9)[i : i + 5]) for i in range(41)).values())
 
 
+def test_weights_that_are_no_whole_numbers():
+    """Elements of real weights: signatures agree as often as the sums of smaller and larger weights have it."""
+    rng = np.random.default_rng(4)
+    agree, want = [], []
+    for _ in range(60):
+        ids = np.sort(rng.integers(1, 2**62, 300).astype(np.uint64))
+        a, b = rng.uniform(0.05, 1, 300), rng.uniform(0.05, 1, 300)
+        agree.append((minhash_dedup.signature(ids, widths=a) == minhash_dedup.signature(ids, widths=b)).mean())
+        want.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    assert abs(np.mean(agree) - np.mean(want)) < 0.03
+    ids = np.sort(rng.integers(1, 2**62, 50).astype(np.uint64))
+    assert (minhash_dedup.signature(ids) == minhash_dedup.signature(ids, widths=np.ones(50))).all()
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A, b!"), (None, "a b"), (5, "x"), (5, "x"), (6, "!!"), (7, "again and " * 30000)]
     got = sorted((str(r.doc), str(r.class_id), r.kept) for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS sig", "2 AS h")).collect())

@@ -1,6 +1,7 @@
 import hashlib
 
 import corpus_pipeline
+import plain
 from helpers import shingles, similarity, texts, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -40,6 +41,16 @@ def test_stages(spark, small):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_run_is_the_plain_stages(spark, small):
+    """run() against the same stages in plain Python."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    left = plain.without_items(plain.near_duplicates(plain.lines(plain.languages(rows))), items)
+    want = plain.tokens(left, Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")))
+    got = [(r.doc_id, r.lang, r.source, r.n_tokens, bytes(r.token_ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, small).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < len(rows)
+
+
 def test_rejects_and_keeps(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     bad = spark.createDataFrame([(9001, "12 34 !!", "en", "s", 8), (9002, None, "en", "s", 0), (9003, "ខ្មែរ ភាសា", None, None, None)], docs.schema)

@@ -75,6 +75,16 @@ def test_large_buckets(spark, length, gram, size):
         assert result(suffix_dedup.digest(suffix_dedup.remove(df, length=length, gram=gram, most=most))) == wanted(rows, length)
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = " ".join(word() for _ in range(40000))
+    rows = [(1, base), (2, base[5000:60000] + " ".join(word() for _ in range(20000))), (3, base[:300000:2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digest(suffix_dedup.remove(df)).collect()}
+    assert got == {1: (len(base), 55000, 1), 2: (len(rows[1][1]), 55000, 1), 3: (150000, 0, 0)}
+
+
 def test_kept_text(spark):
     rows = [(1, "é" * 500), (2, None), (3, "plain"), (4, "ab" + "é" * 300 + "cd")]
     got = {r.doc_id: r.kept_text for r in suffix_dedup.digest(suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
