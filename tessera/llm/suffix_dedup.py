@@ -35,7 +35,7 @@ from tessera.llm.common import cut, cut_table, join_keys, keep_keys, map_arrow,
 
 LENGTH, GRAM = 400, 128
 #: Different entries of a bucket that are sorted in one task, entries brought together in one, and ranges of offsets that a range is split into.
-MOST_ENTRIES, TOGETHER, SPLIT = 4_000, 2_000, 8
+MOST_ENTRIES, TOGETHER, SPLIT = 500, 500, 8
 #: What tells entries of different bytes apart.
 KIND = ["bucket", "own", "own2"]
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
