@@ -73,8 +73,6 @@ class Automaton:
         self.left, self.right, self.born = [-1] * n_tokens, [-1] * n_tokens, [-1] * n_tokens
         self.parent, self.deleted, self.time = [-1], [-1], [-1]
         self.gadget: dict[int, int] = {}  # (owner label, deleted label) -> time: the deletions along a state's parents
-        self.rows: dict[int, dict[int, int]] = {}  # the transition table, as far as it was needed
-        self.filled = 0
         self.made = [True] * n_tokens
         for _, _, uv in merges:
             if not self.made[uv]:
@@ -92,12 +90,13 @@ class Automaton:
             self.state[uv] = r
             self.left[uv], self.right[uv], self.born[uv] = u, v, time
             self.gadget[u << 20 | v] = time
+        self.clear()
 
-    def row(self, state: int) -> dict[int, int]:
-        """Transitions of a state that are filled in: label -> state, or -1 for none."""
-        if self.filled > 4 * CACHED:
-            self.rows, self.filled = {}, 0
-        return self.rows.setdefault(state, {})
+    def clear(self) -> None:
+        """The transition table as far as it's filled in: of each state and of the start, label -> state, or -1 for none."""
+        self.rows: list[dict[int, int]] = [{} for _ in self.parent]
+        self.start: dict[int, int] = {}
+        self.filled = 0
 
     def fill(self, row: dict[int, int], last: int, token: int) -> int:
         """The transition by ``token`` from the state that ``last`` leads to; -1: from the start, where every label has an arc."""
@@ -161,9 +160,10 @@ class Codec:
         self.letters, self.vocab = byte_letters(), vocab
         end = len(self.suffix)
         labels = {t: i for t, i in vocab.items() if self.automaton.made[i]}
-        self.final = {t[:-end]: i for t, i in labels.items() if t.endswith(self.suffix)}
-        self.inner = {t: i for t, i in labels.items() if not t.endswith(self.suffix)}
-        self.ends = {t[k:] for t in [*self.final, *self.inner] for k in range(len(t))}
+        # tries of the labels' ends, for the last place of a word and for others: the label, or -1 where it goes on
+        final = {t[:-end]: i for t, i in labels.items() if t.endswith(self.suffix)}
+        inner = {t: i for t, i in labels.items() if not t.endswith(self.suffix)}
+        self.final, self.inner = ({t[k:]: -1 for t in x for k in range(len(t))} | x for x in (final, inner))
         self.spaced = [f" {t}" for t in self.label]
         self.word = Recent(lambda w: array("I", self._path(w)).tobytes(), cached)
         self.chunk = Recent(self._chunk, cached)
@@ -171,25 +171,28 @@ class Codec:
     def _path(self, word: str) -> list[int]:
         """The automaton's accepted path for one word."""
         text = "".join([self.letters[b] for b in word.encode()])
-        n, ends, row, fill = len(text), self.ends, self.automaton.row, self.automaton.fill
-        rows, last, came = [row(-1)], [-1], [0]  # of each place: its state's transitions, the label that led there, and from where
-        labels = self.inner
+        n, auto, ends = len(text), self.automaton, self.inner
+        if auto.filled > 4 * CACHED:
+            auto.clear()
+        table = auto.rows
+        rows, last, came = [auto.start], [-1], [0]  # of each place: its state's transitions, the label that led there, and from where
         for end in range(1, n + 1):
             if end == n:
-                labels = self.final
-            for begin in range(end - 1, -1, -1):
-                piece = text[begin:end]
-                if piece not in ends:  # a place without a path: no label ends so
+                ends = self.final
+            begin = end - 1
+            while True:
+                token = ends.get(text[begin:end])
+                if token is None:
                     raise ValueError("no path: the vocabulary lacks a byte")
-                token = labels.get(piece)
-                if token is not None:
+                if token >= 0:
                     known = rows[begin]
                     to = known.get(token)
                     if to is None:
-                        to = fill(known, last[begin], token)
+                        to = auto.fill(known, last[begin], token)
                     if to >= 0:
                         break
-            rows.append(row(to))
+                begin -= 1
+            rows.append(table[to])
             last.append(token)
             came.append(begin)
         path, at = [], n
