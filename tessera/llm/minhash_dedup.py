@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, cut_table, documents, join_keys, keep_keys, map_arrow, same_document, told_apart, word_hashes
+from tessera.llm.common import components, cut, cut_table, documents, give_back, join_keys, keep_keys, map_arrow, same_document, told_apart, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: With these a pair at the threshold becomes a candidate with probability 0.9997.
@@ -200,6 +200,7 @@ def compared(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
             a, b = np.nonzero(like & (comp[some][:, None] != comp[right][None]))
             pairs = np.stack((some[a], right[b]), axis=1)
             out += [(int(sigs[x]), int(sigs[y])) for x, y in forest(len(sets), pairs)]
+    give_back()
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, cut_table, join_keys, keep_keys, map_arrow, sized, split_by_keys
+from tessera.llm.common import cut, cut_table, give_back, join_keys, keep_keys, map_arrow, sized, split_by_keys
 
 LENGTH, GRAM = 400, 128
 #: Different entries of a bucket that are sorted in one task, entries brought together in one, and ranges of offsets that a range is split into.
@@ -192,6 +192,7 @@ def sorted_runs(entries: DataFrame, keys: list[str], by: str, tasks: int, length
     def refine(pdf: pd.DataFrame) -> pd.DataFrame:
         found = repeated_starts(pdf["data"].tolist(), length)
         said = [[0, len(f) - 1] if n > 1 else runs(f) for f, n in zip(found, pdf["n"], strict=True)]
+        give_back()
         return pdf[[*keys, "n"]].assign(runs=said)[[bool(x) for x in said]]
 
     dealt = entries.withColumn("task", F.pmod(F.xxhash64(by), F.lit(tasks)))
