@@ -163,6 +163,11 @@ def rolling(hashes: str, k: int) -> Column:
     return F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))))
 
 
+def part_of(array: Column, start: Column, length: Column) -> Column:
+    """Elements of an array from a place (from 0) on. They are read one by one: slice() copies the whole array for each part."""
+    return F.when(length > 0, F.transform(F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), lambda j: F.get(array, start + j))).otherwise(F.slice(array, 1, 0))
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, as counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

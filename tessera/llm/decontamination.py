@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, documents, keep_keys, rolling, same_document, sized, word_hashes
+from tessera.llm.common import cut, documents, keep_keys, part_of, rolling, same_document, sized, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits by which fingerprints may differ: over four standard deviations above what pairs at the threshold differ by.
@@ -60,19 +60,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", item_t
     """
     items = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("h")).filter((F.size("h") > 0) & F.col("item").isNotNull())
     items = items.withColumn("size", F.size("h")).withColumn("k", F.least("size", F.lit(shingle)))
-    hashed = docs.select("doc", "th", word_hashes(F.col("text")).alias("h"))
+    hashed = docs.select("doc", "th", word_hashes(F.col("text")).alias("h")).select("doc", "th", F.size("h").alias("n"), "h")  # the size apart: else all of h is copied for each place of a text
     out = None
     for k in sorted(r[0] for r in items.select("k").distinct().collect()):  # at most ``shingle`` values
         own = cut(items.filter(F.col("k") == k).select("item", "size", F.col("h")).select("item", "size", F.expr(f"size - {k} + 1").alias("m"), rolling("h", k).alias("g")).withColumn("g", F.expr("slice(g, 1, m)")))
         places = cut(own.select("size", "m", F.posexplode("g").alias("at", "gram")).distinct())
-        grams = hashed.select("doc", "th", F.size("h").alias("n"), F.posexplode(rolling("h", k)).alias("p", "gram")).filter(F.col("p") + k <= F.col("n"))
+        grams = hashed.select("doc", "th", "n", F.posexplode(rolling("h", k)).alias("p", "gram")).filter(F.col("p") + k <= F.col("n"))
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("size")))
         starts = cut(grams.join(sized(places), "gram").select("doc", "th", "size", "m", start.alias("start")).distinct())
         starts = starts.groupBy("doc", "th").agg(F.collect_list(F.struct("size", "m", "start")).alias("s")).withColumnsRenamed({"doc": "d2", "th": "t2"})  # a document has fewer than words times sizes
         some = keep_keys(docs, starts.select(F.col("t2").alias("th")).distinct(), "th").dropDuplicates(["doc", "th"])
         some = some.select("doc", "th", word_hashes(F.col("text")).alias("h")).select("doc", "th", F.size("h").alias("n"), rolling("h", k).alias("g"))
         joined = some.join(starts, same_document("d2", "t2"))  # a text's shingles travel once, however many windows it has
-        window = F.transform("s", lambda x: F.struct(x["size"].alias("size"), x["start"].alias("start"), F.slice("g", x["start"] + 1, F.greatest(F.lit(0), F.least(x["m"], F.col("n") - k + 1 - x["start"]))).alias("g")))
+        window = F.transform("s", lambda x: F.struct(x["size"].alias("size"), x["start"].alias("start"), part_of(F.col("g"), x["start"], F.least(x["m"], F.col("n") - k + 1 - x["start"])).alias("g")))
         windows = joined.select("doc", "th", F.explode(window).alias("x")).select("doc", "th", "x.*").filter("size(g) > 0")
         windows = cut(windows.select("doc", "th", F.struct("doc", "th", "start", "size").alias("w"), "size", "g", simhash(F.col("g")).alias("fp")))
         found = within_radius(windows, own.select("item", "size", simhash(F.col("g")).alias("ifp")))
