@@ -75,6 +75,20 @@ def test_large_buckets(spark, length, gram, size):
         assert result(suffix_dedup.digest(suffix_dedup.remove(df, length=length, gram=gram, most=most))) == wanted(rows, length)
 
 
+@pytest.mark.parametrize("copies", [1, 4])
+def test_near_copies_get_a_row_for_each_segment(spark, copies):
+    """However often a bucket is split, what is found goes back to its entries once."""
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    each = [base[:at] + "XY" + base[at + 2 :] for at in (rng.randrange(1400) for _ in range(40))]
+    rows = [(k, each[k // copies]) for k in range(40 * copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = df.selectExpr("doc_id AS doc", "xxhash64(encode(text, 'UTF-8')) AS th", "encode(text, 'UTF-8') AS data")
+    n = sum(len(suffix_dedup.segments(t.encode())[0]) for _, t in rows)
+    assert 0 < suffix_dedup.repeats(docs, most=2).count() <= n
+    assert result(suffix_dedup.digest(suffix_dedup.remove(df, most=2))) == wanted(rows)
+
+
 def test_very_long_texts(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
