@@ -103,3 +103,21 @@ def test_kept_text(spark):
     rows = [(1, "é" * 500), (2, None), (3, "plain"), (4, "ab" + "é" * 300 + "cd")]
     got = {r.doc_id: r.kept_text for r in suffix_dedup.digest(suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert got[1] == "" and got[2] == "" and got[3] == "plain" and got[4] == "abcd"
+
+
+def test_planted_passages(spark):
+    """Passages of over 50 words in three documents each: those of 400 bytes or more go whole, shorter ones and other documents stay."""
+    rng = random.Random(3)
+    words = lambda n, least, most: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(least, most))) for _ in range(n))
+    rows, size = [(k, words(200, 2, 9)) for k in range(60)], {}
+    for k in range(0, 36, 3):
+        passage = words(rng.randint(51, 70), *((7, 11) if k % 2 else (2, 6)))
+        for j in range(k, k + 3):
+            at = rng.randrange(1000)
+            rows[j], size[j] = (j, f"{rows[j][1][:at]} {passage} {rows[j][1][at:]}"), len(passage)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    done = suffix_dedup.digest(suffix_dedup.remove(df)).cache()
+    assert result(done) == wanted(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in done.collect()}
+    assert {j for j in got if got[j][1]} == {j for j in size if size[j] >= 400} and {s >= 400 for s in size.values()} == {True, False}
+    assert all(got[j][1] >= size[j] for j in size if size[j] >= 400) and all(got[j][0] == len(t) for j, t in rows)
